@@ -6,15 +6,16 @@ maximal run of bytes other than space and 0x09-0x0D.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quillforge.sources.scratch import materialise
+
+__all__ = ["Words", "byte_view", "materialise", "mix", "parallelism", "slices", "strings", "table", "windows"]
+
 #: Text handled at once by the vectorised helpers; a longer document is still taken whole.
 SLICE_BYTES = 4 << 20
 
@@ -35,22 +36,6 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder named by the session; only if unset, one for local tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillforge-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A contiguous string array with nulls read as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -155,7 +140,3 @@ def windows(word_hash: np.ndarray, length: int) -> np.ndarray:
         h += word_hash[k : k + n]
         h ^= h >> np.uint64(31)
     return mix(h)
-
-
-def crc_of_ids(ids: np.ndarray) -> np.ndarray:
-    return np.fromiter((zlib.crc32(b"%d" % i) for i in ids.tolist()), dtype=np.int64, count=len(ids))
