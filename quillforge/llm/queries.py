@@ -1,11 +1,16 @@
-"""Queries of this subpackage by name; all but op7's training split are beyond SQL, so tests hold
-them against brute force, the tokeniser libraries or a round trip instead."""
+"""Queries of this subpackage by name. Only op5 can be said in SQL; tests hold the others against
+brute force, the tokeniser libraries, a round trip or held-out labels instead."""
 
 from quillforge.llm.langid import op7_language
+from quillforge.llm.lattice import op9_lattice
+from quillforge.llm.licenses import op10_licenses
 from quillforge.llm.media import op4_media
+from quillforge.llm.neardup import op1_neardup
 from quillforge.llm.packing import op6_packing
 from quillforge.llm.pieces import op3_pieces
+from quillforge.llm.search import OP5_SQL, op5_search
 from quillforge.llm.secrets import op8_secrets
+from quillforge.llm.substrings import op2_substrings
 
-QUERIES = {f.__name__: f for f in (op3_pieces, op4_media, op6_packing, op7_language, op8_secrets)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_substrings, op3_pieces, op4_media, op5_search, op6_packing, op7_language, op8_secrets, op9_lattice, op10_licenses)}
+ORACLES = {"op5_search": OP5_SQL}
