@@ -1,10 +1,8 @@
-"""Queries by name, with DuckDB SQL for the same rows."""
+"""All queries by name, with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillforge.plans import coverage_queries, graph_queries, text_queries
+from quillforge.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "coverage_queries", "graph_queries", "text_queries"]
