@@ -23,11 +23,11 @@ def percentiles(long: DataFrame, by: list[str], value: str = "value") -> DataFra
     counted = long.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     up_to = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     running = counted.withColumn("_upto", F.sum("_n").over(up_to))
-    total = counted.groupBy(*by).agg(F.sum("_n").alias("count"), F.max(value).alias("max"))
+    total = counted.groupBy(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(by))).agg(F.sum("_n").alias("count"), F.max(value).alias("max"))
     same = F.lit(True)
-    for c in by:
-        same = same & running[c].eqNullSafe(total[c])
-    joined = running.join(total, same).select(*(total[c] for c in by), running[value], "_upto", "count", "max")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{k}"))
+    joined = running.join(total, same)
     at = lambda p: F.round((F.col("count") - 1) * p / F.lit(100.0)).cast("long")
     picks = [F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(f"p{p}") for p in PERCENTS]
     return joined.groupBy(*by, "count", "max").agg(*picks).select(*by, "count", *(f"p{p}" for p in PERCENTS), "max")
