@@ -127,8 +127,8 @@ def ignored(path: Column, prefixes: list[str] | None = None) -> Column:
     dirs = _dirs(path)
     cleaned = [p.strip().rstrip("/") for p in prefixes or [] if p.strip().rstrip("/")]
     out = F.arrays_overlap(dirs, F.array(*map(F.lit, always)))
-    for p in cleaned:
-        out = out | F.exists(dirs, lambda d, p=p: d.startswith(p))
+    if cleaned:
+        out = out | F.exists(dirs, lambda d: F.exists(F.array(*map(F.lit, cleaned)), lambda p: F.startswith(d, p)))
     return F.coalesce(out, F.lit(False))
 
 
