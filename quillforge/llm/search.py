@@ -138,6 +138,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     else:
         least = home.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(LEAST)).alias("least"))
         asked = points.filter(is_query).dropDuplicates(["vec_id", "n"]).join(least, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(LEAST)))
+        asked = materialise(asked, "asked")
         blocks = max(1, -(-asked.count() // QUERY_BLOCK))
         asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
         away = asked.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("at <> shard")
