@@ -18,6 +18,7 @@ __all__ = ["Words", "byte_view", "materialise", "mix", "parallelism", "slices",
 
 #: Text handled at once by the vectorised helpers; a longer document is still taken whole.
 SLICE_BYTES = 4 << 20
+HASHED_BYTES = 1 << 19
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
@@ -74,7 +75,7 @@ _inverses = np.ones(1, np.uint64)
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
+        size = max(n, HASHED_BYTES + (1 << 16))
         for name, base in (("_powers", _MULT), ("_inverses", _INV)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
@@ -115,12 +116,19 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            n = len(self.data)
-            power, inverse = _power_tables(n + 1)
-            total = np.empty(n + 1, np.uint64)
-            total[0] = 0
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-            h = (total[self.end] - total[self.start]) * inverse[self.start]
+            h = np.empty(len(self.start), np.uint64)
+            k = 0
+            while k < len(h):  # so many bytes at once that the sums stay small
+                base = self.start[k]
+                upto = max(int(np.searchsorted(self.end, base + HASHED_BYTES, side="right")), k + 1)
+                part = self.data[base : self.end[upto - 1]]
+                power, inverse = _power_tables(len(part) + 1)
+                total = np.empty(len(part) + 1, np.uint64)
+                total[0] = 0
+                np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
+                first = self.start[k:upto] - base
+                h[k:upto] = (total[self.end[k:upto] - base] - total[first]) * inverse[first]
+                k = upto
             h += (self.end - self.start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             self._hash = mix(h)
         return self._hash

@@ -38,8 +38,8 @@ MICRO = 1e6
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: Bytes of a word (with its mark) up to which words are scored side by side; longer ones alone.
 LONG = 160
-BLOCK = 1 << 15
-CHUNK_ROWS = 8192
+BLOCK = 1 << 13
+CHUNK_ROWS = 4096
 
 
 class Lattice:
@@ -209,16 +209,16 @@ def score_texts(docs: DataFrame, train: Column, path: str | None = None, id_col:
         expected[-1] = ends
         micro = np.rint(expected * MICRO).astype(np.int64)
         used = np.flatnonzero(micro)
-        side = pa.table([pa.array([-1 - chunk % sides], pa.int32()), pa.array([chunk], pa.int32()), [used.astype(np.uint64).tobytes()], [micro[used].tobytes()]], names=["bucket", "chunk", "keys", "vals"])
+        side = pa.table([[-1 - chunk % sides], [chunk], [used.astype(np.uint64).tobytes()], [ledger.pack(micro[used])], [None]], names=["bucket", "chunk", "keys", "vals", "marks"])
         posted = ledger.posts(chunk, np.append(part.keys, END), np.append(part.counts, ends), buckets)
         return pa.concat_tables([posted, side.cast(posted.schema)])
 
-    found = materialise(ledger.replies(dealt.groupBy("chunk").applyInArrow(learn, ledger.POST), np.add, lambda whole, own: whole > 0, summary=True), "counts")
+    found = materialise(ledger.replies(dealt.groupBy("chunk").applyInArrow(learn, ledger.POST), ledger.add, lambda whole, own, mark: whole > 0, summary=True), "counts")
 
     def flat(batches):
         for batch in batches:
-            for keys, values in zip(batch.column("keys").to_pylist(), batch.column("vals").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(values, np.int64))], names=["piece", "n"])
+            keys, values = ledger.unpack(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(values)], names=["piece", "n"])
 
     def totals(batches):
         for batch in batches:
