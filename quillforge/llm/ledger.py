@@ -4,7 +4,8 @@ Documents are dealt into chunks by their id. A chunk posts its distinct keys wit
 (so a key that a third of all documents hold counts once a chunk), packed into one row for each
 bucket of the key space. A bucket combines the values of equal keys and replies to every chunk
 that posted; the chunk meets its replies in a cogroup. Keys are one or two unsigned 64-bit words,
-values 64-bit integers, both as bytes. Chunks and buckets are counted from the rows of the input,
+values 64-bit integers (written as bytes of 8 bits where all of a row fit), both as binary columns;
+a mark of 8 bits may stand beside a key. Chunks and buckets are counted from the rows of the input,
 so that what a task holds does not grow with it.
 """
 
@@ -18,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of documents in a chunk, about.
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 2048
 
-POST = "bucket int, chunk int, keys binary, vals binary"
+POST = "bucket int, chunk int, keys binary, vals binary, marks binary"
 REPLY = "chunk int, keys binary, vals binary"
-_POST = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
+_POST = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary()), ("marks", pa.binary())])
 _REPLY = pa.schema([("chunk", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
 
 
@@ -47,12 +48,17 @@ def runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], new if keys.ndim == 1 else new.any(axis=1)]))
 
 
-def combine(keys: np.ndarray, values: np.ndarray, how: np.ufunc) -> tuple[np.ndarray, np.ndarray]:
+#: How values of a key are combined: how(values in order of their keys, first place of each key).
+Combine = Callable[[np.ndarray, np.ndarray], np.ndarray]
+add: Combine = np.add.reduceat
+least: Combine = np.minimum.reduceat
+
+def combine(keys: np.ndarray, values: np.ndarray, how: Combine) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the values of each combined."""
     by = order(keys)
     keys, values = keys[by], values[by]
     at = runs(keys)
-    return keys[at], how.reduceat(values, at) if len(at) else values
+    return keys[at], how(values, at) if len(at) else values
 
 
 def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -76,23 +82,30 @@ def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def posts(chunk: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
+def pack(values: np.ndarray) -> bytes:
+    small = not len(values) or (values.min() >= 0 and values.max() < 256)
+    return values.astype(np.uint8 if small else np.int64).tobytes()
+
+
+def posts(chunk: int, keys: np.ndarray, values: np.ndarray, buckets: int, marks: np.ndarray | None = None) -> pa.Table:
     """Rows of POST for the (distinct) keys of one chunk."""
     first = keys if keys.ndim == 1 else keys[:, 0]
     bucket = (first % np.uint64(buckets)).astype(np.int32)
     by = np.argsort(bucket, kind="stable")
-    bucket, keys, values = bucket[by], keys[by], values[by].astype(np.int64)
+    bucket, keys, values = bucket[by], keys[by], values[by]
     at = runs(bucket)
     edges = np.append(at, len(bucket)).tolist()
     pairs = list(zip(edges[:-1], edges[1:], strict=True))
-    return pa.table([pa.array(bucket[at], pa.int32()), pa.array([chunk] * len(at), pa.int32()), pa.array([keys[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([values[a:b].tobytes() for a, b in pairs], pa.binary())], schema=_POST)
+    marked = [None] * len(pairs) if marks is None else [marks[by][a:b].astype(np.uint8).tobytes() for a, b in pairs]
+    return pa.table([pa.array(bucket[at], pa.int32()), pa.array([chunk] * len(at), pa.int32()), pa.array([keys[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([pack(values[a:b]) for a, b in pairs], pa.binary()), pa.array(marked, pa.binary())], schema=_POST)
 
 
 def unpack(table: pa.Table, words: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(keys, values) of all rows of POST or REPLY."""
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint64)
-    values = np.frombuffer(b"".join(table.column("vals").to_pylist()), dtype=np.int64)
-    return keys if words == 1 else keys.reshape(-1, words), values
+    packed = table.column("keys").to_pylist()
+    keys = np.frombuffer(b"".join(packed), dtype=np.uint64)
+    each = [np.frombuffer(v, np.uint8 if len(v) * 8 * words == len(k) else np.int64).astype(np.int64) for k, v in zip(packed, table.column("vals").to_pylist(), strict=True)]
+    return keys if words == 1 else keys.reshape(-1, words), np.concatenate(each) if each else np.zeros(0, np.int64)
 
 
 def sorted_reply(table: pa.Table, words: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -107,26 +120,27 @@ SUMMARY = -1
 SIDE = -2
 
 
-def replies(posted: DataFrame, how: np.ufunc, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], words: int = 1, summary: bool = False) -> DataFrame:
+def replies(posted: DataFrame, how: Combine, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], words: int = 1, summary: bool = False) -> DataFrame:
     """Rows of REPLY: for each chunk, those of its keys that are kept, with the combined value.
 
-    keep(combined value, own value) tells which; it sees one entry for each chunk and key."""
+    keep(combined value, own value, mark) tells which; it sees one entry for each chunk and key."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         keys, values = unpack(table, words)
         sizes = [len(k) // (8 * words) for k in table.column("keys").to_pylist()]
         distinct, total = combine(keys, values, how)
         if key[0].as_py() < 0:
-            return pa.table([[SIDE], [distinct.tobytes()], [total.tobytes()]], schema=_REPLY)
+            return pa.table([[SIDE], [distinct.tobytes()], [pack(total)]], schema=_REPLY)
         whole = total[find(distinct, keys)]
-        kept = keep(whole, values)
+        marks = np.frombuffer(b"".join(m or bytes(n) for m, n in zip(table.column("marks").to_pylist(), sizes, strict=True)), np.uint8)
+        kept = keep(whole, values, marks)
         out, at = [], 0
         if summary:
             out.append((SUMMARY, b"", np.array([(total > 0).sum(), total.sum()], np.int64).tobytes()))
         for chunk, n in zip(table.column("chunk").to_pylist(), sizes, strict=True):
             mine = kept[at : at + n]
             if mine.any():
-                out.append((chunk, keys[at : at + n][mine].tobytes(), whole[at : at + n][mine].tobytes()))
+                out.append((chunk, keys[at : at + n][mine].tobytes(), pack(whole[at : at + n][mine])))
             at += n
         return pa.table(list(map(list, zip(*out, strict=True))) if out else [[], [], []], schema=_REPLY)
 

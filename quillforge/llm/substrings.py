@@ -82,12 +82,17 @@ def _post_level(chunk: int, part: Chunk, at: np.ndarray, short: int, length: int
     by = np.lexsort((ids, keys))
     keys, ids = keys[by], ids[by]
     first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]) if len(keys) else np.zeros(0, bool)
-    return ledger.posts(chunk, *ledger.combine(keys[first], np.ones(int(first.sum()), np.int64), np.add), buckets)
+    return ledger.posts(chunk, *ledger.combine(keys[first], np.ones(int(first.sum()), np.int64), ledger.add), buckets)
 
 
 def _post_last(chunk: int, part: Chunk, at: np.ndarray, length: int, buckets: int) -> pa.Table:
-    """Distinct windows of the chunk, each with its smallest id."""
-    return ledger.posts(chunk, *ledger.combine(part.whole(at, length), part.ids[part.owner(at)], np.minimum), buckets)
+    """Distinct windows of the chunk, each with its smallest id, marked if the chunk has it under another id too."""
+    keys, ids = part.whole(at, length), part.ids[part.owner(at)]
+    by = ledger.order(keys)
+    keys, ids = keys[by], ids[by]
+    first = ledger.runs(keys)
+    low, high = (np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)) if len(first) else (ids, ids)
+    return ledger.posts(chunk, keys[first], low, buckets, low != high)
 
 
 def remove_repeats(docs: DataFrame, length: int, finish: Callable[[Chunk, np.ndarray], pa.Table], schema: str | object, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,9 +140,9 @@ def remove_repeats(docs: DataFrame, length: int, finish: Callable[[Chunk, np.nda
 
     posted = dealt.groupBy("chunk").applyInArrow(start, ledger.POST)
     for k in range(1, len(lengths)):
-        found = ledger.replies(posted, np.add, lambda whole, own: whole > 1)
+        found = ledger.replies(posted, ledger.add, lambda whole, own, mark: whole > 1)
         posted = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(extend(k), ledger.POST)
-    found = ledger.replies(posted, np.minimum, lambda whole, own: np.ones(len(whole), bool), words=2)
+    found = ledger.replies(posted, ledger.least, lambda whole, own, mark: (whole < own) | (mark > 0), words=2)
     return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(end, schema)
 
 
