@@ -12,11 +12,13 @@ class with fewer than MATCH shared tokens is skipped altogether. Lists are merge
 collisions over the whole signature are counted for a list's members against a few leaders, never
 for all pairs; pairs with MATCH and more are kept and confirmed on the full sets.
 
-Three rounds find all links between components without all pairs of a group: (1) list members
-against leaders; (2) members of different components so far, the best few for each; (3) all that is
-then left of the pairs with MATCH collisions between different components. A list over LIST members
-is salted into blocks; in rounds 2 and 3 members outside its largest component visit every block,
-so that every pair across components still meets.
+All links are found without all pairs of a group. (1) The members of a list are matched with a few
+leaders, and each group of a leader with the other groups, one match for each member and group; so
+whatever matches is connected, and what matches connect is a family. (2) Matches are confirmed,
+which makes the components so far. (3) A link that is still missing lies inside a family, between
+components: the full sets are intersected in the task that holds them, and only links that join
+components leave it. Lists and families over LIST members are dealt into blocks; members outside the
+largest component visit every block, so that every pair across components still meets.
 
 Cases: null text, empty text or text without words has an empty set, linked with nothing; fewer
 than k words make one shingle of them all; a null id links with nothing and is kept; rows that
@@ -30,7 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillforge.llm import ledger
@@ -39,8 +41,8 @@ from quillforge.operators.components import connected_components
 
 COORDINATES, MATCH = 64, 36
 PREFIX = COORDINATES - MATCH + 1
-#: Members of a list that one task compares; pairs of each member and other component in round 2.
-LIST, BEST = 2048, 4
+#: Members of a list or family that are compared at once.
+LIST = 2048
 POSTINGS_A_BUCKET = 20_000
 
 _draw = np.random.default_rng(20240229)
@@ -100,7 +102,7 @@ def _tokens(sig: np.ndarray) -> np.ndarray:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(token, df, id, sig) for the prefix tokens that other classes share; sig in 16 bits a coordinate."""
+    """(token, df, id, n, sig) for the prefix tokens that other classes share; sig in 16 bits a coordinate."""
     spark = classes.sparkSession
     chunks = ledger.chunk_count(classes.count(), parallelism(spark), 16384)
     buckets = max(parallelism(spark), chunks)
@@ -108,9 +110,9 @@ def postings(classes: DataFrame) -> DataFrame:
 
     def post(key: tuple, rows: pa.Table) -> pa.Table:
         tokens = _tokens(_matrix(rows.column("sig"), np.uint32)).ravel()
-        return ledger.posts(key[0].as_py(), *ledger.combine(tokens, np.ones(len(tokens), np.int64), np.add), buckets)
+        return ledger.posts(key[0].as_py(), *ledger.combine(tokens, np.ones(len(tokens), np.int64), ledger.add), buckets)
 
-    shared = ledger.replies(dealt.groupBy("chunk").applyInArrow(post, ledger.POST), np.add, lambda whole, own: whole > 1)
+    shared = ledger.replies(dealt.groupBy("chunk").applyInArrow(post, ledger.POST), ledger.add, lambda whole, own, mark: whole > 1)
 
     def prefix(key: tuple, rows: pa.Table, reply: pa.Table) -> pa.Table:
         keys, counts = ledger.sorted_reply(reply)
@@ -123,94 +125,172 @@ def postings(classes: DataFrame) -> DataFrame:
         row, col = np.nonzero(np.take_along_axis(df, first, axis=1) > 1)
         col = first[row, col]
         short = [s.tobytes() for s in sig.astype(np.uint16)]
-        return pa.table([pa.array(tokens[row, col].view(np.int64)), pa.array(df[row, col]), pa.array(rows.column("id").to_numpy()[row]), pa.array([short[r] for r in row.tolist()], pa.binary())], names=["token", "df", "id", "sig"])
+        mine = lambda c: pa.array(rows.column(c).to_numpy()[row])
+        return pa.table([pa.array(tokens[row, col].view(np.int64)), pa.array(df[row, col]), mine("id"), mine("n"), pa.array([short[r] for r in row.tolist()], pa.binary())], names=["token", "df", "id", "n", "sig"])
 
-    return dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(prefix, "token long, df long, id long, sig binary")
+    return dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(prefix, "token long, df long, id long, n long, sig binary")
 
 
-def _collide(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return (sig == one).sum(axis=1)
+class List:
+    """Members of one posting list, or of one block of it."""
 
+    def __init__(self, rows: dict[str, np.ndarray], part: np.ndarray, percent: int):
+        self.ids, self.sig, self.n, self.comp, self.home = (rows[c][part] for c in ("id", "sig", "n", "comp", "home"))
+        self.percent = percent
 
-def _leaders(ids: np.ndarray, sig: np.ndarray, comp: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    left = np.argsort(ids, kind="stable")
+    def alike(self, one: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the others, those that match enough and whose sizes allow the similarity; with their matches."""
+        others = others[100 * np.minimum(self.n[others], self.n[one]) >= self.percent * np.maximum(self.n[others], self.n[one])]
+        n = (self.sig[others] == self.sig[one]).sum(axis=1)
+        return others[n >= MATCH], n[n >= MATCH]
+
+
+Found = Iterator[tuple[np.ndarray, np.ndarray]]
+
+
+def _leaders(rows: List) -> Found:
+    """Members against leaders; then from each member outside the largest group of a leader one match
+    in every other group that it matches, so that what matches in a list is connected."""
+    left, group = np.argsort(rows.ids, kind="stable"), np.arange(len(rows.ids))
     while len(left) > 1:
-        leader, rest = left[0], left[1:]
-        hit = _collide(sig[rest], sig[leader]) >= MATCH
-        if hit.any():
-            yield np.full(int(hit.sum()), ids[leader]), ids[rest[hit]]
-        left = rest[~hit]
-
-
-def _across(best: int | None) -> Callable:
-    """Pairs between different components, of which one at least is outside the largest."""
-
-    def pairs(ids: np.ndarray, sig: np.ndarray, comp: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        names, sizes = np.unique(comp, return_counts=True)
-        if len(names) < 2:
-            return
-        largest = names[np.argmax(sizes)]
-        seen = np.zeros(len(ids), dtype=bool)
-        for y in np.flatnonzero(comp != largest).tolist():
-            other = np.flatnonzero((comp != comp[y]) & ~seen & (home | home[y]))
-            seen[y] = best is None  # with all pairs wanted, each once
-            n = _collide(sig[other], sig[y])
-            hit = n >= MATCH
-            other, n = other[hit], n[hit]
-            if best is not None and len(other) > best:
-                by = np.lexsort((ids[other], -n, comp[other]))
-                other = other[by]
-                start = np.concatenate([[True], comp[other][1:] != comp[other][:-1]])
-                place = np.arange(len(other)) - np.maximum.accumulate(np.where(start, np.arange(len(other)), 0))
-                other = other[place < best]
-            if len(other):
-                yield np.minimum(ids[other], ids[y]), np.maximum(ids[other], ids[y])
-
-    return pairs
-
-
-def _merge_lists(posted: DataFrame, total: int, pairs_of: Callable) -> DataFrame:
-    """Distinct candidate pairs of all lists; posted has (token, salt, id, sig, comp, home)."""
+        hit, _ = rows.alike(left[0], left[1:])
+        if len(hit):
+            group[hit] = left[0]
+            yield np.full(len(hit), rows.ids[left[0]]), rows.ids[hit]
+        left = left[1:][~np.isin(left[1:], hit)]
+    rows.comp = group
+    alone = np.bincount(group, minlength=len(group))[group] == 1
+    # two leaders alone have met already
+    yield from _across(rows, alone)
+
+
+def _across(rows: List, met: np.ndarray | None = None) -> Found:
+    """From each member outside the largest group, one match in every other group that it matches."""
+    names, sizes = np.unique(rows.comp, return_counts=True)
+    if len(names) < 2 or (met is not None and met.all()):
+        return
+    largest = names[np.argmax(sizes)]
+    for y in np.flatnonzero(rows.comp != largest).tolist():
+        fit = (rows.comp != rows.comp[y]) & (rows.home | rows.home[y])
+        if met is not None and met[y]:
+            fit &= ~met
+        other, _ = rows.alike(y, np.flatnonzero(fit))
+        if len(other):
+            other = other[np.unique(rows.comp[other], return_index=True)[1]]
+            yield np.minimum(rows.ids[other], rows.ids[y]), np.maximum(rows.ids[other], rows.ids[y])
+
+
+def _spread(rows: DataFrame, group: str, within: str, blocks: Column) -> DataFrame:
+    """Rows of groups that hold more than one value of `within`, dealt into blocks of a group.
+
+    Rows of a group's largest `within` go to their own block, the others to every block."""
+    held = rows.groupBy(group, within).agg(F.count("*").alias("c"))
+    mixed = held.groupBy(group).agg(F.count("*").alias("_some"), F.max(F.struct("c", F.col(within).alias("main"))).alias("x")).filter("_some > 1").select(group, "x.main")
+    dealt = rows.join(mixed, group).withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("id", group), F.col("_blocks")).cast("int"))
+    visits = F.when((F.col(within) == F.col("main")) | (F.col("_blocks") == 1), F.array("_own")).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    return dealt.withColumn("salt", F.explode(visits)).withColumn("home", F.col("salt") == F.col("_own")).drop("_blocks")
+
+
+def _merge_lists(posted: DataFrame, total: int, percent: int, pairs_of: Callable) -> DataFrame:
+    """Distinct candidate pairs of all lists; posted has (token, salt, id, sig, n, comp, home)."""
     buckets = max(parallelism(posted.sparkSession), -(-total // POSTINGS_A_BUCKET))
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        token, salt = rows.column("token").to_numpy(), rows.column("salt").to_numpy()
-        ids, comp, home = rows.column("id").to_numpy(), rows.column("comp").to_numpy(), rows.column("home").to_numpy(zero_copy_only=False)
-        sig = _matrix(rows.column("sig"), np.uint16)
-        by = np.lexsort((ids, salt, token))
-        at = np.flatnonzero(np.concatenate([[True], (token[by][1:] != token[by][:-1]) | (salt[by][1:] != salt[by][:-1])]))
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("token", "salt", "id", "n", "comp", "home")}
+        rows["sig"] = _matrix(table.column("sig"), np.uint16)
+        by = np.lexsort((rows["id"], rows["salt"], rows["token"]))
+        token, salt = rows["token"][by], rows["salt"][by]
+        at = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]))
         found = [np.zeros((0, 2), np.int64)]
         for a, b in zip(at.tolist(), [*at[1:].tolist(), len(by)], strict=True):
             if b - a > 1:
-                part = by[a:b]
-                found += [np.stack(p, axis=1) for p in pairs_of(ids[part], sig[part], comp[part], home[part])]
+                found += [np.stack(p, axis=1) for p in pairs_of(List(rows, by[a:b], percent))]
         both = np.unique(np.concatenate(found), axis=0)
         return pa.table([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=_PAIRS)
 
-    return posted.withColumn("bucket", F.pmod(F.xxhash64("token", "salt"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, "a long, b long").filter("a <> b").distinct()
+    needed = posted.select("token", "salt", "id", "sig", "n", "comp", "home")
+    return needed.withColumn("bucket", F.pmod(F.xxhash64("token", "salt"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, "a long, b long").filter("a <> b").distinct()
+
+
+def full_sets(texts: DataFrame, k: int, lower: bool) -> DataFrame:
+    """(id, shingles): sorted 64-bit hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(strings(batch.column(1)), k, lower)], pa.binary())], names=["id", "shingles"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, shingles binary")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, lower: bool, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                known: dict[int, np.ndarray] = {}
-                for i, t in ((0, 2), (1, 3)):
-                    ids = batch.column(i).to_pylist()
-                    new = {x: r for r, x in enumerate(ids) if x not in known}
-                    known |= zip(new, shingle_sets(strings(batch.column(t).take(pa.array(list(new.values()), pa.int64()))), k, lower), strict=True)
-                alike = []
-                for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    x, y = known[a], known[b]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    alike.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
-
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+        for batch in batches:
+            alike = []
+            for one, two in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (one, two))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _links_inside(ids: np.ndarray, comp: np.ndarray, home: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links between different components of one block, as many as join what can be joined.
+
+    Intersections are counted over an inverted index of the block's shingles."""
+    sizes = np.array([len(s) for s in sets])
+    doc = np.repeat(np.arange(len(sets)), sizes)
+    names, which = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = doc[np.argsort(which, kind="stable")]
+    upto = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(names)))])
+    first = np.cumsum(sizes) - sizes
+    labels, at = np.unique(comp, return_inverse=True)
+    parent = np.arange(len(labels))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    largest = np.argmax(np.bincount(at))
+    for y in np.flatnonzero(at != largest).tolist():
+        mine = which[first[y] : first[y] + sizes[y]]
+        n = upto[mine + 1] - upto[mine]
+        reach = holders[np.repeat(upto[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        both = np.bincount(reach, minlength=len(sets))
+        hit = np.flatnonzero((100 * both >= percent * (sizes + sizes[y] - both)) & (at != at[y]) & (home | home[y]))
+        for x in hit.tolist():
+            p, q = root(at[x]), root(at[y])
+            if p != q:
+                parent[p] = q
+                yield int(ids[x]), int(ids[y])
+
+
+def link_families(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between different components of a family; members has (id, comp, family)."""
+    size = members.groupBy("family").agg(F.count("*").alias("_size"))
+    dealt = _spread(members.join(size, "family"), "family", "comp", F.ceil(F.col("_size") / LIST).cast("int"))
+    buckets = max(parallelism(members.sparkSession), -(-dealt.count() // LIST))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        family, salt, ids, comp = (table.column(c).to_numpy() for c in ("family", "salt", "id", "comp"))
+        home = table.column("home").to_numpy(zero_copy_only=False)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        by = np.lexsort((ids, salt, family))
+        at = np.flatnonzero(np.concatenate([[True], (family[by][1:] != family[by][:-1]) | (salt[by][1:] != salt[by][:-1])]))
+        found = []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(by)], strict=True):
+            part = by[a:b]
+            if b - a > 1:
+                found += _links_inside(ids[part], comp[part], home[part], [sets[k] for k in part.tolist()], percent)
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=_PAIRS)
+
+    whole = dealt.select("id", "comp", "family", "salt", "home").join(sets, "id")
+    return whole.withColumn("bucket", F.pmod(F.xxhash64("family", "salt"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,31 +298,26 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = Tru
     equal set, and the smallest id that links reach."""
     drawn = materialise(sketches(docs, k, lower, id_col, text_col), "sketches")
     full = drawn.filter("n > 0 and id is not null")
-    classes = full.groupBy("set_hash").agg(F.min(F.struct("id", "n", "sig")).alias("x")).select("x.id", "x.sig").dropDuplicates(["id"])
+    classes = full.groupBy("set_hash").agg(F.min(F.struct("id", "n", "sig")).alias("x")).select("x.id", "x.n", "x.sig").dropDuplicates(["id"])
     posted = materialise(postings(classes), "postings")
     total = posted.count()
-    salts = F.ceil(F.col("df") / LIST).cast("int")
-    own = F.pmod(F.xxhash64("id", "token"), salts).cast("int")
-    texts = materialise(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(posted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
-
-    first = posted.withColumns({"salt": own, "comp": F.col("id"), "home": F.lit(True)})
-    tested = materialise(_merge_lists(first, total, _leaders), "pairs")
-    links = materialise(confirm(tested, texts, k, lower, percent), "links")
+    blocks = F.ceil(F.col("df") / LIST).cast("int")
+    first = posted.withColumns({"salt": F.pmod(F.xxhash64("id", "token"), blocks).cast("int"), "comp": F.col("id"), "home": F.lit(True)})
+    matched = materialise(_merge_lists(first, total, percent, _leaders), "pairs")
+    families = connected_components(matched).withColumnRenamed("component", "family")
+    long = posted.filter(F.col("df") > LIST)
+    if not long.isEmpty():  # members of different blocks of a list have not met
+        named = long.join(families, "id", "left").withColumn("comp", F.coalesce("family", "id"))
+        matched = matched.unionByName(materialise(_merge_lists(_spread(named, "token", "comp", blocks), total, percent, _across), "pairs")).distinct()
+        families = connected_components(matched).withColumnRenamed("component", "family")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(families.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    sets = materialise(full_sets(texts, k, lower), "sets")
+    links = materialise(confirm(matched, sets, percent), "links")
     joined = connected_components(links)
-    for best in (BEST, None):
-        mine = posted.join(joined.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        held = mine.groupBy("token", "comp").agg(F.count("*").alias("c"))
-        mixed = held.groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("c", F.col("comp").alias("main"))).alias("x")).filter("comps > 1").select("token", "x.main")
-        mine = mine.join(mixed, "token").withColumn("own", own)
-        visits = F.when((F.col("comp") == F.col("main")) | (salts == 1), F.array("own")).otherwise(F.sequence(F.lit(0), salts - 1))
-        mine = mine.withColumn("salt", F.explode(visits)).withColumn("home", F.col("salt") == F.col("own"))
-        pairs = materialise(_merge_lists(mine, total, _across(best)).join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = materialise(confirm(pairs, texts, k, lower, percent), "links")
-        tested = tested.unionByName(pairs)
-        if new.isEmpty():
-            continue
-        links = links.unionByName(new)
-        joined = connected_components(links)
+    members = families.join(joined.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    more = materialise(link_families(members, sets, percent), "links")
+    if not more.isEmpty():
+        joined = connected_components(links.unionByName(more))
     of_class = full.groupBy("set_hash").agg(F.min("id").alias("class_id")).join(joined.withColumnRenamed("id", "class_id"), "class_id", "left")
     known = drawn.select("id", "n", "set_hash").join(of_class, (drawn["set_hash"] == of_class["set_hash"]) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
     return known.select("id", "n", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component", "class_id", "id").alias("component_id"))
