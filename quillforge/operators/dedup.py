@@ -23,15 +23,19 @@ def coefficients(n: int) -> list[tuple[int, int]]:
 
 def shingle_rows(units: DataFrame, unit: str, text: str, k: int = 3) -> DataFrame:
     """(unit, shingle) distinct."""
-    made = shingles(tokens(normalize_code(F.col(text))), k)
-    return units.select(unit, F.explode(F.array_distinct(made)).alias("shingle"))
+    return _tokens(units, unit, text).select(unit, F.explode(F.array_distinct(shingles(F.col("_t"), k))).alias("shingle"))
+
+
+def _tokens(units: DataFrame, unit: str, text: str) -> DataFrame:
+    """Tokens as a column of their own: a lambda would work out an expression again for every window."""
+    return units.select(unit, tokens(normalize_code(F.col(text))).alias("_t"))
 
 
 def signatures(units: DataFrame, unit: str, text: str, k: int = 3, hashes: int = 100) -> DataFrame:
     """(unit, signature): least values over the shingles, combined before the shuffle, which carries
     one row for each unit."""
-    made = F.array_distinct(shingles(tokens(normalize_code(F.col(text))), k))
-    x = units.select(unit, F.explode_outer(made).alias("_s")).select(unit, F.pmod(md5_prefix(F.col("_s")), F.lit(PRIME)).alias("_x"))
+    made = F.array_distinct(shingles(F.col("_t"), k))
+    x = _tokens(units, unit, text).select(unit, F.explode_outer(made).alias("_s")).select(unit, F.pmod(md5_prefix(F.col("_s")), F.lit(PRIME)).alias("_x"))
     least = [F.coalesce(F.min(F.pmod(F.col("_x") * F.lit(a).cast("long") + F.lit(b).cast("long"), F.lit(PRIME))), F.lit(PRIME).cast("long")) for a, b in coefficients(hashes)]
     return x.groupBy(unit).agg(F.array(*least).alias("signature"))
 

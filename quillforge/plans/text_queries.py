@@ -165,9 +165,7 @@ SHINGLES_SQL = f"t AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents), s AS (S
 
 @query(f"WITH {SHINGLES_SQL} SELECT doc_id, count(*) AS shingles FROM s GROUP BY doc_id")
 def doc_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    made = F.size(F.array_distinct(T.shingles(T.tokens(T.normalize_code(F.col("text"))), 3))).cast("long")
-    return docs.select("doc_id", made.alias("shingles")).filter("shingles > 0")
+    return dedup.shingle_rows(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("shingles"))
 
 
 HASHES, BANDS, ALIKE = 16, 4, 0.75
