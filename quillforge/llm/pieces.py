@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from quillforge.llm.chunks import CHUNKED_BYTES, ChunkCoder
+from quillforge.llm.chunks import ChunkCoder
 from quillforge.llm.common import byte_view, slices, strings, table
 
 MODEL = "piece_bpe_32k.model"
@@ -228,7 +228,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in slices(batches, most=CHUNKED_BYTES):
+        for batch in slices(batches):
             texts = strings(batch.column(1))
             ids, first = model.encode(texts)
             listed = lambda x, first=first: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x, pa.int32()))
@@ -257,7 +257,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in slices(batches, most=CHUNKED_BYTES):
+        for batch in slices(batches):
             texts = strings(batch.column(1))
             ids, first = model.encode(texts)
             _, ends = model.spans(texts, ids, first)
