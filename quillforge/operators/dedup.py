@@ -55,14 +55,27 @@ def band_rows(signed: DataFrame, unit: str, bands: int) -> DataFrame:
     return signed.select(unit, F.explode(rows).alias("_b")).select(F.col("_b.band").alias("band"), F.md5("_b.key").alias("key"), unit)
 
 
-def candidates(signed: DataFrame, unit: str, bands: int = 20, largest: int = 100) -> DataFrame:
+def candidates(signed: DataFrame, unit: str, bands: int = 20, largest: int = 100, exact: bool = False) -> DataFrame:
     """(id1, id2) that meet in a bucket of 2 to `largest` members. The cap is the operator's own
-    parameter: larger buckets are left out, which bounds a unit's partners in a band."""
+    parameter: larger buckets are left out, which bounds a unit's partners in a band.
+
+    With `exact` larger buckets count as well: each of their units is linked to the least unit of an
+    equal signature, and those are paired with one another. A unit's other pairs are those of the
+    unit it is linked to, so groups are the same as if all pairs were made."""
     rows = band_rows(signed, unit, bands)
-    fit = rows.groupBy("band", "key").agg(F.count("*").alias("_n")).filter(F.col("_n").between(2, largest)).select("band", "key")
-    kept = rows.join(fit, ["band", "key"], "left_semi")
-    left, right = kept.withColumnRenamed(unit, "id1"), kept.withColumnRenamed(unit, "id2")
-    return left.join(right, ["band", "key"]).filter("id1 < id2").select("id1", "id2").distinct()
+    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("_n"))
+
+    def met(kept: DataFrame) -> DataFrame:
+        left, right = kept.withColumnRenamed(unit, "id1"), kept.withColumnRenamed(unit, "id2")
+        return left.join(right, ["band", "key"]).filter("id1 < id2").select("id1", "id2")
+
+    pairs = met(rows.join(sizes.filter(F.col("_n").between(2, largest)).select("band", "key"), ["band", "key"], "left_semi"))
+    if exact:
+        over = rows.join(sizes.filter(F.col("_n") > largest).select("band", "key"), ["band", "key"], "left_semi")
+        first = signed.groupBy("signature").agg(F.min(unit).alias("_first"))
+        links = signed.join(over.select(unit).distinct(), unit, "left_semi").join(first, "signature").filter(F.col("_first") < F.col(unit)).select(F.col("_first").alias("id1"), F.col(unit).alias("id2"))
+        pairs = pairs.unionByName(met(over.join(first.select(F.col("_first").alias(unit)), unit, "left_semi"))).unionByName(links)
+    return pairs.distinct()
 
 
 def verified(pairs: DataFrame, signed: DataFrame, unit: str, least: float) -> DataFrame:

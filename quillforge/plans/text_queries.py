@@ -184,7 +184,7 @@ def doc_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = doc_signatures(spark, sf_dir)
-    return dedup.verified(dedup.candidates(signed, "doc_id", BANDS), signed, "doc_id", ALIKE)
+    return dedup.verified(dedup.candidates(signed, "doc_id", BANDS, exact=True), signed, "doc_id", ALIKE)
 
 
 @query(f"WITH {SIGNED_SQL} SELECT doc_id, array_to_string(g, ',') AS signature FROM sig")
@@ -194,7 +194,7 @@ def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS_SQL} SELECT id1, id2 FROM cand")
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.candidates(doc_signatures(spark, sf_dir), "doc_id", BANDS)
+    return dedup.candidates(doc_signatures(spark, sf_dir), "doc_id", BANDS, exact=True)
 
 
 @query(f"WITH {PAIRS_SQL} SELECT id1, id2, CAST(similarity AS DOUBLE) AS similarity FROM pairs")

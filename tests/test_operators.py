@@ -1,10 +1,12 @@
 import ast
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from quillforge.functions import text as T
 from quillforge.operators import dedup, graph, profile, ranges, render, resolve, rules
 from quillforge.operators.components import connected_components
+from quillforge.plans import text_queries
 from quillforge.schema import METRICS, default_thresholds
 from quillforge.sources import files
 from quillforge.sources.python_code import cyclomatic
@@ -178,6 +180,31 @@ def test_large_buckets_are_left_out(spark):
         assert dedup.candidates(signed, "id", 1).count() == want
 
 
+def test_exact_candidates_group_as_all_pairs_do(spark):
+    draw = random.Random(3)
+    signed = spark.createDataFrame([(k, [draw.randrange(3) for _ in range(4)]) for k in range(60)], "id long, signature array<long>")
+
+    def groups(largest, exact):
+        own = list(range(60))
+        for r in dedup.verified(dedup.candidates(signed, "id", 2, largest, exact), signed, "id", 0.75).collect():
+            x, y = sorted((own[r.id1], own[r.id2]))
+            own = [x if o == y else o for o in own]
+        return own
+
+    assert groups(5, True) == groups(1, True) == groups(60, False) != groups(5, False)
+
+
+def test_queries_hold_groups_over_the_cap(spark, tmp_path):
+    copies = [(k, "alpha beta gamma delta epsilon zeta") for k in range(150)]
+    spark.createDataFrame([*copies, (150, "one two three four five")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in text_queries.near_dup_clusters(spark, str(tmp_path)).collect()} == {(k, 0) for k in range(150)}
+    pairs = {(0, k) for k in range(1, 150)}
+    assert {tuple(r) for r in text_queries.lsh_candidates(spark, str(tmp_path)).collect()} == pairs
+    assert {tuple(r) for r in text_queries.near_dup_pairs(spark, str(tmp_path)).collect()} == {(a, b, 1.0) for a, b in pairs}
+    (row,) = text_queries.cluster_summary(spark, str(tmp_path)).collect()
+    assert row.size == 150 and row.avg_similarity == 1.0
+
+
 def test_ranges(spark):
     rows = spark.createDataFrame([("f", 1, 0, 10), ("f", 2, 10, 12), ("f", 3, 11, 15), ("g", 4, 0, 3)], "path string, k int, a int, b int")
     assert [r.k for r in ranges.overlaps(rows, "path", "a", "b", "k").collect()] == [2]
