@@ -1,9 +1,10 @@
 """License scans by patience alignment.
 
-A text's words near a template's key word are aligned with the template: words that occur once in
+A text's words near a template's seed words are aligned with the template: words that occur once in
 both are anchors, the longest increasing subsequence of their places is kept, and the gaps between
-kept anchors are aligned in the same way; equal words next to a gap's ends are taken first. The
-share of the template's words that are matched, in order, is its coverage. From COVERAGE on it is
+kept anchors are aligned in the same way; equal words next to a gap's ends are taken first, and a gap
+without anchors goes by its longest common subsequence. Seeds are more of a template's words than a
+report may miss, so that every reported notice holds one at its place. The share of the template's words that are matched, in order, is its coverage. From COVERAGE on it is
 reported with the code points from the first matched word to the last. Of overlapping reports the
 one with more matched words stays (then more coverage, then the earlier name).
 
@@ -14,6 +15,7 @@ equal reports; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -62,9 +64,8 @@ TEMPLATES = (
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
 )
-#: Every template has one of these words; the first in this order is its key.
-KEYS = ("redistribution", "permission", "redistribute", "licensed", "license")
-_GATE = r"(?i)licen[cs]e|permission|redistribut"
+#: Seeds that a template takes last, as any text holds them.
+COMMON = frozenset("a above all an and any are as at by can copy distribute distributed following for form from hereby in including is it may modify not notice obtain of on one or person purpose source subject terms that the this to under use was will with work you".split())
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -90,6 +91,26 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
+def _common(a: list[str], b: list[str], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of a[a0:a1] and b[b0:b1]."""
+    held = set(b[b0:b1])
+    rows = [k for k in range(a0, a1) if a[k] in held]
+    best = [[0] * (b1 - b0 + 1) for _ in range(len(rows) + 1)]
+    for i in range(len(rows) - 1, -1, -1):
+        for j in range(b1 - b0 - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[rows[i]] == b[b0 + j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(rows) and j < b1 - b0:
+        if a[rows[i]] == b[b0 + j]:
+            out.append((rows[i], b0 + j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Matched places of equal words, rising in both."""
     out: list[tuple[int, int]] = []
@@ -108,6 +129,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         place = {w: k for k, w in enumerate(b[b0:b1], b0) if in_b[w] == 1}
         anchors = _rising([(k, place[w]) for k, w in enumerate(a[a0:a1], a0) if in_a[w] == 1 and w in place])
         if not anchors:
+            out += _common(a, b, a0, a1, b0, b1)
             continue
         out += anchors
         ends = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
@@ -116,31 +138,45 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class _Template:
-    def __init__(self, name: str, text: str):
+    def __init__(self, name: str, text: str, coverage: float):
         self.name, self.words = name, words(text)[0]
-        self.key = next(k for k in KEYS if k in self.words)
-        self.at = self.words.index(self.key)
         self.slack = max(3, len(self.words) // 4)
+        self.count = Counter(self.words)
+        n = len(self.words)
+        self.need = next(k for k in range(n + 1) if k == n or k / n >= coverage)
+        rare = sorted(range(n), key=lambda k: (self.words[k] in COMMON, self.count[self.words[k]], -len(self.words[k]), k))
+        self.seeds = [(k, self.words[k]) for k in rare[: n - self.need + 1]]
 
 
-_templates = [_Template(*t) for t in TEMPLATES]
+@functools.cache
+def _templates(coverage: float) -> tuple[list[_Template], frozenset[str], str]:
+    """The templates, all their seeds, and a pattern that every text with a seed matches."""
+    made = [_Template(*t, coverage) for t in TEMPLATES]
+    seeds = frozenset(w for t in made for _, w in t.seeds)
+    return made, seeds, "(?i)" + "|".join(map(re.escape, sorted(seeds)))
 
 
 def find_licenses(text: str, coverage: float = COVERAGE) -> list[tuple[int, int, str, float]]:
     """(start, end, name, coverage) of each notice, by start."""
     own, spans = words(text)
-    places: dict[str, list[int]] = {k: [] for k in KEYS}
+    templates, seeds, _ = _templates(coverage)
+    places: dict[str, list[int]] = {}
     for k, w in enumerate(own):
-        if w in places:
-            places[w].append(k)
+        if w in seeds:
+            places.setdefault(w, []).append(k)
     found = []
-    for t in _templates:
-        for p in places[t.key]:
-            low = max(0, p - t.at - t.slack)
-            pairs = align(own[low : p - t.at + len(t.words) + t.slack], t.words)
-            share = len(pairs) / len(t.words)
-            if share >= coverage:
-                found.append((-len(pairs), -share, t.name, low + pairs[0][0], low + pairs[-1][0]))
+    for t in templates:
+        n = len(t.words)
+        for at in {p - k for k, w in t.seeds for p in places.get(w, ())}:
+            low = max(0, at - t.slack)
+            near = own[low : at + n + t.slack]
+            if (Counter(near) & t.count).total() < t.need:
+                continue
+            # the span at the seed's own offset, or the wider one if that matches more
+            exact = max(0, at)
+            pairs = max([(k + exact, j) for k, j in align(own[exact : at + n], t.words)], [(k + low, j) for k, j in align(near, t.words)], key=len)
+            if len(pairs) >= t.need:
+                found.append((-len(pairs), -len(pairs) / n, t.name, pairs[0][0], pairs[-1][0]))
     kept: list[tuple[int, int, str, float]] = []
     for _, share, name, a, b in sorted(found):
         a, b = spans[a][0], spans[b][1]
@@ -157,7 +193,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = strings(batch.column(1))
-            hits = pc.match_substring_regex(texts, _GATE).to_pylist()
+            hits = pc.match_substring_regex(texts, _templates(COVERAGE)[2]).to_pylist()
             found = [[{"name": n, "start": a, "end": b, "coverage": c} for a, b, n, c in find_licenses(t.as_py())] if hit else [] for t, hit in zip(texts, hits, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(item))], names=["id", "licenses"])
 

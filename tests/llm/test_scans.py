@@ -148,6 +148,27 @@ def test_license_frames(spark):
     assert [(x.start, x.end) for x in rows[5]] == [(0, 30), (32, 62)]
 
 
+@pytest.mark.parametrize("notice", ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0."])
+def test_every_copy_in_a_row_is_found(notice):
+    for n in (1, 2, 3, 5, 40):
+        found = licenses.find_licenses(" ".join([notice] * n))
+        assert [(a, b) for a, b, _, _ in found] == [(k * (len(notice) + 1), k * (len(notice) + 1) + len(notice) - 1) for k in range(n)]
+
+
+def test_near_copies_are_found_whichever_words_are_missing(spark):
+    draw, docs, want = random.Random(6), [], []
+    for name, text in licenses.TEMPLATES:
+        split = licenses.words(text)[0]
+        for _ in range(3):
+            gone = set(draw.sample(range(len(split)), len(split) // 5))
+            docs.append((len(docs), "before it " + " ".join("qqq" if k in gone else w for k, w in enumerate(split)) + " and after"))
+            want.append(name)
+    docs.append((len(docs), "Released under the MIT Lizenz."))
+    want.append("MIT-notice")
+    rows = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [rows[d][0].name if rows[d] else None for d, _ in docs] == want
+
+
 def area_by_hand(image, height, width):
     rows, cols = image.shape
     out = np.zeros((height, width))
