@@ -32,6 +32,8 @@ from quillforge.llm.common import slices, strings, table
 RANKS = "byte_bpe_50k.tiktoken"
 WINDOW = 1024
 END_ID = 0
+#: The added tokens of byte_bpe_50k.json; none holds a space, before which chunks are cut.
+ADDED = {"<|endoftext|>": 50256}
 #: Sequence ids are task * TASK + count.
 TASK = 1 << 40
 
@@ -113,15 +115,23 @@ class Packer:
 
 
 @functools.cache
-def load(path: str) -> ChunkCoder:
-    """Byte-level BPE; the rank file holds the vocabulary of byte_bpe_50k.json, id for id."""
+def load(path: str, added: bool = False) -> ChunkCoder:
+    """Byte-level BPE; the rank file holds the vocabulary of byte_bpe_50k.json, id for id. With
+    `added` a text is split at ADDED first, whose ids stand for their literals, as the library does by
+    default; else the literals are text, as with its encode_special_tokens."""
+    special = ADDED if added else {}
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-    for token, rank in ranks.items():
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    tokens = {**{t.encode(): k for t, k in special.items()}, **ranks}
+    lengths = np.zeros(max(tokens.values()) + 1, dtype=np.int64)
+    for token, rank in tokens.items():
         lengths[rank] = len(token)
-    return ChunkCoder(lambda chunks: list(map(encoding.encode_ordinary, chunks)), lengths, drop=False)
+
+    def encode(text: str) -> list[int]:
+        return encoding.encode(text, allowed_special="all") if any(t in text for t in special) else encoding.encode_ordinary(text)
+
+    return ChunkCoder(lambda chunks: list(map(encode, chunks)), lengths, drop=False)
 
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -134,7 +144,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col:
     names = ["id", *(part.split()[0] for part in SCHEMA.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = load(path)
+        coder = load(path, added=True)
         packer = Packer(window, TaskContext.get().partitionId() * TASK)
         id_type = None
 

@@ -29,6 +29,24 @@ def test_byte_pieces_are_the_librarys():
     assert split(*found) == [x.ids for x in library.encode_batch(texts(), add_special_tokens=False)]
 
 
+def test_added_tokens_are_the_librarys():
+    draw = random.Random(9)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", " word", "'s", "é", "12", "\xa0"]
+    rows = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", *("".join(draw.choices(parts, k=draw.randrange(1, 20))) for _ in range(3000))]
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [x.ids for x in library.encode_batch(rows, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    assert {t.content: k for k, t in library.get_added_tokens_decoder().items()} == packing.ADDED
+    assert split(*packing.load(public_tokenizers.path(packing.RANKS), added=True).ids(pa.array(rows))) == want
+
+
+def test_packed_documents_hold_added_tokens(spark):
+    rows = list(enumerate(["a <|endoftext|> b", "no such token", "<|endoftext|>" * 600]))
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {d: [*library.encode(t, add_special_tokens=False).ids, 0] for d, t in rows}
+    assert check_packing([tuple(r) for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()], 1024, want) == 0
+
+
 def test_pieces_spans_and_decoding_are_the_librarys():
     model = pieces.load(public_tokenizers.path(pieces.MODEL))
     rows = pa.array(texts())
