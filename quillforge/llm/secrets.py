@@ -1,7 +1,8 @@
 """Secret scans: three base patterns, and zstandard novelty for strings in a sensitive context.
 
-A candidate is a run of 16 or more token characters, holding a letter and a digit, that stands
-within REACH characters after a sensitive word and touches no base span. Its novelty is what it
+A candidate is a run of 16 or more token characters that has a sensitive word in the AROUND
+characters on either side and touches no base span; of a run that holds the word, what stands
+before and after it. Its novelty is what it
 adds to the compressed size of its surroundings, primed with a dictionary of identifiers and with
 the identifiers of the surrounding text: a known or repeated name adds next to nothing, a random
 string nearly its own length. At NOVEL of its length and more it is reported as `novel`.
@@ -13,6 +14,7 @@ equal spans; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillforge.llm.common import slices, strings, table
 
 KINDS = ("assign", "access", "hex", "novel")
-REACH, AROUND, SHORTEST = 48, 512, 16
+AROUND, SHORTEST = 512, 16
 NOVEL = 0.7
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -67,21 +69,31 @@ def novelty(candidate: str, before: str, after: str) -> float:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    if not words:
+        return []
     taken = sorted((a, b) for a, b, _, _ in base)
-    found: dict[int, tuple[int, int, str, int]] = {}
-    for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, word.end()):
-            a, b = m.span()
-            if a > word.end() + REACH:
-                break
-            if a in found or any(x < b and a < y for x, y in taken):
+    found, w, t = [], 0, 0
+    for m in _CANDIDATE.finditer(text):
+        a, b = m.span()
+        while w < len(words) and words[w][0] < a - AROUND:
+            w += 1
+        while t < len(taken) and taken[t][1] <= a:
+            t += 1
+        near = list(itertools.takewhile(lambda x, b=b: x[1] <= b + AROUND, itertools.islice(words, w, None)))
+        over = list(itertools.takewhile(lambda x, b=b: x[0] < b, itertools.islice(taken, t, None)))
+        inner = [(x, y) for x, y in near if a < y and x < b]
+        # a run that holds the word itself is measured beside it
+        parts = [(a, b)] if len(near) > len(inner) else []
+        parts += [(y, b) for _, y in inner] + [(a, x) for x, _ in inner]
+        own: list[tuple[int, int]] = []
+        for x, y in parts:
+            if y - x < SHORTEST or any(p < y and x < q for p, q in over) or any(p <= x and y <= q for p, q in own):
                 continue
-            own = m[0]
-            if not (re.search(r"[0-9]", own) and re.search(r"[A-Za-z]", own)):
-                continue
-            if novelty(own, text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= NOVEL:
-                found[a] = (a, b, "novel", a)
-    return list(found.values())
+            if novelty(text[x:y], text[max(0, x - AROUND) : x], text[y : y + AROUND]) >= NOVEL:
+                own.append((x, y))
+        found += [(x, y, "novel", x) for x, y in own]
+    return found
 
 
 def find_spans(text: str) -> list[tuple[int, int, str, int]]:

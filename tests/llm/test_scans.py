@@ -48,6 +48,23 @@ def test_novel_strings_need_context_and_entropy():
     assert text[span[0] : span[1]] == random_string and secrets.redact(text) == "x Bearer [REDACTED] y"
 
 
+@pytest.mark.parametrize("text", ["Bearer {}", "{} is the bearer value", "the credential of the build host, which stands on a line of its own\nand well after the word:\n{}", "{}\n\nabove: authorization"])
+@pytest.mark.parametrize("value", ["qZkWfxLoPvBzmWnKRtYd", "q7Zk29fLx0PvB3mWn8Rt"])
+def test_novelty_alone_decides_near_a_sensitive_word(text, value):
+    found = secrets.find_spans(text.format(value))
+    a = text.index("{")
+    wanted = [(a, a + len(value))] if secrets.novelty(value, text[:a], text[a + 2 :]) >= secrets.NOVEL else []
+    assert [(x, y) for x, y, kind, _ in found if kind == "novel"] == wanted
+    assert wanted
+
+
+def test_runs_that_hold_the_word_are_measured_beside_it():
+    value = "q7Zk29fLx0PvB3mWn8Rt"
+    for text in (f"signature={value}", f"bearer/{value}", f"{value}_credential"):
+        ((a, b, kind, _),) = secrets.find_spans(text)
+        assert kind == "novel" and value in text[a:b]
+
+
 def test_scan_and_redact_frames(spark):
     frame = spark.createDataFrame([(k, t, None if t is None else len(t), 1) for k, t in enumerate(SECRETS)], "doc_id long, text string, n_chars long, spans int")
     rows = {r.doc_id: r for r in secrets.digest(secrets.scan(frame)).collect()}
