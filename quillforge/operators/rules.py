@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 def violations(long: DataFrame, thresholds: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose value is over the threshold (equal is allowed).
 
-    thresholds is a parameter table of one row for each metric and language; it is broadcast."""
-    return long.join(F.broadcast(thresholds), on).filter(F.col("threshold").isNotNull() & (F.col("value") > F.col("threshold")))
+    thresholds is a parameter table of one row for each metric and language; Spark broadcasts it where
+    its size allows."""
+    return long.join(thresholds, on).filter(F.col("threshold").isNotNull() & (F.col("value") > F.col("threshold")))
 
 
 def exempt_methods(rows: DataFrame, metric: str = "positional_args", inside: str = "inside_class") -> DataFrame:
@@ -19,8 +20,9 @@ def exempt_methods(rows: DataFrame, metric: str = "positional_args", inside: str
 
 
 def focus(rows: DataFrame, files: DataFrame | None, file_col: str = "file") -> DataFrame:
-    """Rows of the focus files; without a focus, all. Applied to reports, never below what a report counts."""
-    return rows if files is None else rows.join(files.select(F.col(files.columns[0]).alias(file_col)).distinct(), file_col, "left_semi")
+    """Rows of the focus files; without a focus or with an empty one, all. Applied to reports, never
+    below what a report counts."""
+    return rows if files is None or files.isEmpty() else rows.join(files.select(F.col(files.columns[0]).alias(file_col)).distinct(), file_col, "left_semi")
 
 
 def focus_clusters(members: DataFrame, files: DataFrame, cluster: str = "cluster_id", file_col: str = "file") -> DataFrame:
@@ -35,7 +37,7 @@ def violation_line(metric: str | Column, file: Column, line: Column, unit: Colum
 def shrink(current: DataFrame, baseline: DataFrame, target: str, target_value: int) -> DataFrame:
     """(metric, value, limit, is_target) of global metrics over their limits: the target's own value for
     the target, the baseline for the others. Both tables have (metric, value)."""
-    held = current.join(F.broadcast(baseline.select("metric", F.col("value").alias("baseline"))), "metric")
+    held = current.join(baseline.select("metric", F.col("value").alias("baseline")), "metric")
     limit = F.when(F.col("metric") == target, F.lit(target_value)).otherwise(F.col("baseline"))
     return held.select("metric", "value", limit.cast("long").alias("limit"), (F.col("metric") == target).alias("is_target")).filter("value > limit")
 

@@ -49,17 +49,25 @@ class Corpus:
         return self._once("chunks", lambda: rows().withColumn("chunk_id", F.format_string("%s:%09d:%09d:%s", "path", "start_line", "end_line", "name")).dropDuplicates(["chunk_id"]))
 
     @property
-    def modules(self) -> DataFrame:
-        """(language, path, module, bare, parent): one row for each module name."""
+    def module_files(self) -> DataFrame:
+        """(language, path, module, bare, parent): one row for each file."""
         p = F.col("path")
         by = lambda py, rs: F.when(F.col("language") == "python", py).otherwise(rs)
         named = self.files.select("language", "path", by(T.module_name_py(p), T.module_name_rs(p)).alias("module"), by(T.bare_name_py(p), T.stem(p)).alias("bare"))
         parent = F.when(F.col("module").contains("."), F.regexp_replace("module", "\\.[^.]*$", "")).otherwise("")
-        return self._once("modules", lambda: named.groupBy("language", "module").agg(F.min("path").alias("path"), F.min("bare").alias("bare")).withColumn("parent", parent))
+        return self._once("module-files", lambda: named.withColumn("parent", parent))
+
+    @property
+    def modules(self) -> DataFrame:
+        """(language, path, module, bare, parent): one row for each module name, under the least path of its files."""
+        least = F.min(F.struct("path", "bare", "parent"))
+        return self._once("modules", lambda: self.module_files.groupBy("language", "module").agg(least.alias("x")).select("language", "x.path", "module", "x.bare", "x.parent"))
 
     def edges(self, language: str) -> DataFrame:
+        """Edges of all files of each module name; modules of one name are one node."""
         modules = self.modules.filter(F.col("language") == language)
-        met = extract.imports(self.files.filter(F.col("language") == language)).join(modules.select("path", "module", "parent", "bare"), "path")
+        files = self.module_files.filter(F.col("language") == language).select("path", "module", "parent", "bare")
+        met = extract.imports(self.files.filter(F.col("language") == language)).join(files, "path")
         if language == "python":
             made = lambda: resolve.dependency_edges(met.select("module", "import", "parent"), modules.select("module", "bare"))
         else:

@@ -1,13 +1,14 @@
 """Python source as rows: units with measures, imports, chunks, definitions and references.
 
-One pass of the standard parser over a file makes all rows of one kind. A file that does not parse
-gives one `module` unit with parse_error and its line count, and nothing else; a tolerant parser
-would keep its sound functions, which this one cannot.
+One pass of the standard parser over a file makes all rows of one kind. A file that does not parse is
+taken block by block: what parses by itself is kept in its place, and a class keeps its sound members.
+Its `module` unit has parse_error.
 """
 
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 # Base classes that make a class an interface.
@@ -175,20 +176,68 @@ def _interface(node: ast.ClassDef) -> bool:
     return bool(words & INTERFACES)
 
 
-def parse(source: str) -> ast.Module | None:
+def _whole(source: str) -> ast.Module | None:
     try:
         return ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
 
 
+#: Lines that go on with the block before them.
+_GOES_ON = re.compile(r"[)\]}]|(?:elif|else|except|finally)\b")
+
+
+def _blocks(lines: list[str], first: int, last: int) -> list[tuple[int, int]]:
+    """Line ranges of the statements at the least indentation of lines[first:last]; decorators stay with what they decorate."""
+    filled = [k for k in range(first, last) if lines[k].strip() and not lines[k].lstrip().startswith("#")]
+    if not filled:
+        return []
+    width = lambda k: len(lines[k]) - len(lines[k].lstrip())
+    least = min(map(width, filled))
+    starts, decorated = [], False
+    for k in filled:
+        if width(k) == least and not _GOES_ON.match(lines[k].lstrip()):
+            if not decorated:
+                starts.append(k)
+            decorated = lines[k].lstrip().startswith("@")
+    return list(zip(starts, [*starts[1:], last], strict=True))
+
+
+def _sound(lines: list[str], first: int, last: int) -> list[tuple[int, int]]:
+    """Line ranges that parse, without the blocks inside that do not."""
+    kept = []
+    for a, b in _blocks(lines, first, last):
+        pad = len(lines[a]) - len(lines[a].lstrip())
+        if _whole("if 1:\n" * bool(pad) + "".join(lines[a:b])) is not None:
+            kept.append((a, b))
+            continue
+        head = next((k for k in range(a, b) if not lines[k].lstrip().startswith("@")), a)
+        if lines[head].lstrip().startswith("class ") and lines[head].rstrip().endswith(":"):
+            inner = _sound(lines, head + 1, b)
+            kept += [(a, head + 1), *inner] if inner else []
+    return kept
+
+
+def parse(source: str) -> ast.Module | None:
+    """The tree of a file, or of those blocks of it that parse; None if none does."""
+    if (tree := _whole(source)) is not None:
+        return tree
+    lines = source.splitlines(keepends=True)
+    kept = {k for a, b in _sound(lines, 0, len(lines)) for k in range(a, b)}
+    if not kept:
+        return None
+    return _whole("".join(line if k in kept else "\n" for k, line in enumerate(lines)))
+
+
 def units(path: str, source: str) -> Iterator[dict]:
     """The module, and every function and class, with their measures; nested ones too."""
     tree = parse(source)
     name = path.rsplit("/", 1)[-1].removesuffix(".py")
     module = {"kind": "module", "name": name, "owner": None, "line": 1, "end_line": max(1, count_lines(source)), "inside_class": False, "lines_per_file": count_lines(source)}
+    if _whole(source) is None:
+        module["parse_error"] = True
     if tree is None:
-        yield module | {"parse_error": True}
+        yield module
         return
     defs = [n for n in ast.walk(tree) if isinstance(n, _FUNCTION)]
     classes = [n for n in ast.walk(tree) if isinstance(n, ast.ClassDef)]
