@@ -6,17 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# The code points of Unicode white space but the space itself.
+WHITE = "\t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def normalize_code(text: Column) -> Column:
     """ASCII lower case, digit runs as N, white space runs (Unicode) as one space, trimmed."""
-    low = F.regexp_replace(F.translate(text, UPPER, LOWER), "[0-9]+", "N")
-    return F.trim(F.regexp_replace(low, "(?U)\\s+", " "))
+    low = F.translate(text, UPPER + WHITE, LOWER + " " * len(WHITE))
+    return F.trim(F.regexp_replace(F.regexp_replace(low, "[0-9]+", "N"), "  +", " "))
 
 
 def tokens(text: Column) -> Column:
     """White space tokens of a normalised text; none for an empty one."""
-    return F.filter(F.split(text, " "), lambda t: t != "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
 
 def words(text: Column) -> Column:
@@ -26,7 +28,7 @@ def words(text: Column) -> Column:
 
 def line_count(text: Column) -> Column:
     """Lines as an editor counts them: a last line end adds none; an empty text has none."""
-    ends = F.length(text) - F.length(F.translate(text, "\n", ""))
+    ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     return (ends + F.when((F.length(text) > 0) & ~text.endswith("\n"), 1).otherwise(0)).cast("long")
 
 

@@ -2,18 +2,26 @@
 
 Signatures use h_i(x) = (a_i x + b_i) mod p on 60-bit MD5 prefixes reduced mod p = 2^31 - 1, which is
 exact in 64-bit integers and gives the same numbers in other SQL engines. A unit without shingles
-has a signature of p everywhere, so such units are alike.
+has a signature of p everywhere, so such units are alike. A unit is one row, so its minima are taken
+where it lies, over arrays of a batch; nothing is exploded or shuffled for them.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillforge.functions.text import md5_prefix, normalize_code, shingles, tokens
+from quillforge.functions.text import normalize_code, shingles, tokens
 from quillforge.operators.components import connected_components
 
 PRIME = (1 << 31) - 1
+#: Characters of text whose shingles are hashed at once.
+HASHED = 1 << 20
 
 
 def coefficients(n: int) -> list[tuple[int, int]]:
@@ -26,18 +34,58 @@ def shingle_rows(units: DataFrame, unit: str, text: str, k: int = 3) -> DataFram
     return _tokens(units, unit, text).select(unit, F.explode(F.array_distinct(shingles(F.col("_t"), k))).alias("shingle"))
 
 
+def shingle_sets(units: DataFrame, unit: str, text: str, k: int = 3) -> DataFrame:
+    """(unit, s): the distinct shingles of each row as an array."""
+    return _tokens(units, unit, text).select(unit, F.array_distinct(shingles(F.col("_t"), k)).alias("s"))
+
+
 def _tokens(units: DataFrame, unit: str, text: str) -> DataFrame:
     """Tokens as a column of their own: a lambda would work out an expression again for every window."""
     return units.select(unit, tokens(normalize_code(F.col(text))).alias("_t"))
 
 
+def _hashed(text: str | None, k: int) -> np.ndarray:
+    """Distinct shingles of a normalised text as numbers below the prime."""
+    words = text.split(" ") if text else []
+    if k <= 0 or len(words) < k:
+        return np.zeros(0, np.int64)
+    made = {" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
+    first = b"".join(hashlib.md5(m.encode(), usedforsecurity=False).digest()[:8] for m in made)
+    return (np.frombuffer(first, ">u8") >> np.uint64(4)).astype(np.int64) % PRIME
+
+
+def _least(texts: list[str | None], k: int, hashes: int) -> np.ndarray:
+    """Signatures of texts as rows."""
+    out = np.full((len(texts), hashes), PRIME, dtype=np.int64)
+    each = [_hashed(t, k) for t in texts]
+    full = np.flatnonzero([len(x) for x in each])
+    if len(full):
+        flat = np.concatenate([each[d] for d in full.tolist()])
+        at = np.cumsum([0, *(len(each[d]) for d in full[:-1].tolist())])
+        for j, (a, b) in enumerate(coefficients(hashes)):
+            out[full, j] = np.minimum.reduceat((flat * a + b) % PRIME, at)
+    return out
+
+
 def signatures(units: DataFrame, unit: str, text: str, k: int = 3, hashes: int = 100) -> DataFrame:
-    """(unit, signature): least values over the shingles, combined before the shuffle, which carries
-    one row for each unit."""
-    made = F.array_distinct(shingles(F.col("_t"), k))
-    x = _tokens(units, unit, text).select(unit, F.explode_outer(made).alias("_s")).select(unit, F.pmod(md5_prefix(F.col("_s")), F.lit(PRIME)).alias("_x"))
-    least = [F.coalesce(F.min(F.pmod(F.col("_x") * F.lit(a).cast("long") + F.lit(b).cast("long"), F.lit(PRIME))), F.lit(PRIME).cast("long")) for a, b in coefficients(hashes)]
-    return x.groupBy(unit).agg(F.array(*least).alias("signature"))
+    """(unit, signature): least values over the distinct shingles of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, start = batch.column(1).to_pylist(), 0
+            while start < len(texts):
+                end, held = start, 0
+                while end < len(texts) and (end == start or held + len(texts[end] or "") <= HASHED):
+                    held += len(texts[end] or "")
+                    end += 1
+                least = _least(texts[start:end], k, hashes)
+                offsets = pa.array(np.arange(end - start + 1) * hashes, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.ListArray.from_arrays(offsets, pa.array(least.ravel()))], names=["unit", "signature"])
+                start = end
+
+    kind = units.schema[unit].dataType.simpleString()
+    made = units.select(F.col(unit).alias("unit"), normalize_code(F.col(text)).alias("text")).mapInArrow(run, f"unit {kind}, signature array<bigint>")
+    return made.withColumnRenamed("unit", unit)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -59,23 +107,20 @@ def candidates(signed: DataFrame, unit: str, bands: int = 20, largest: int = 100
     """(id1, id2) that meet in a bucket of 2 to `largest` members. The cap is the operator's own
     parameter: larger buckets are left out, which bounds a unit's partners in a band.
 
-    With `exact` larger buckets count as well: each of their units is linked to the least unit of an
-    equal signature, and those are paired with one another. A unit's other pairs are those of the
-    unit it is linked to, so groups are the same as if all pairs were made."""
-    rows = band_rows(signed, unit, bands)
-    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("_n"))
-
-    def met(kept: DataFrame) -> DataFrame:
-        left, right = kept.withColumnRenamed(unit, "id1"), kept.withColumnRenamed(unit, "id2")
-        return left.join(right, ["band", "key"]).filter("id1 < id2").select("id1", "id2")
-
-    pairs = met(rows.join(sizes.filter(F.col("_n").between(2, largest)).select("band", "key"), ["band", "key"], "left_semi"))
+    With `exact` there is no cap and nothing is left out: units of an equal signature are a class, linked
+    to its least unit, and only least units are paired in their buckets. Copies cost one row each; pairs
+    of a bucket's distinct signatures are all made."""
+    links, kept = None, signed
     if exact:
-        over = rows.join(sizes.filter(F.col("_n") > largest).select("band", "key"), ["band", "key"], "left_semi")
         first = signed.groupBy("signature").agg(F.min(unit).alias("_first"))
-        links = signed.join(over.select(unit).distinct(), unit, "left_semi").join(first, "signature").filter(F.col("_first") < F.col(unit)).select(F.col("_first").alias("id1"), F.col(unit).alias("id2"))
-        pairs = pairs.unionByName(met(over.join(first.select(F.col("_first").alias(unit)), unit, "left_semi"))).unionByName(links)
-    return pairs.distinct()
+        links = signed.join(first, "signature").filter(F.col("_first") < F.col(unit)).select(F.col("_first").alias("id1"), F.col(unit).alias("id2"))
+        kept = first.select(F.col("_first").alias(unit), "signature")
+    rows = band_rows(kept, unit, bands)
+    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("_n")).filter((F.col("_n") > 1) & (F.lit(exact) | (F.col("_n") <= largest)))
+    fit = rows.join(sizes.select("band", "key"), ["band", "key"], "left_semi")
+    left, right = fit.withColumnRenamed(unit, "id1"), fit.withColumnRenamed(unit, "id2")
+    pairs = left.join(right, ["band", "key"]).filter("id1 < id2").select("id1", "id2")
+    return (pairs if links is None else pairs.unionByName(links)).distinct()
 
 
 def verified(pairs: DataFrame, signed: DataFrame, unit: str, least: float) -> DataFrame:

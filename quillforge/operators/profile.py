@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillforge.sources.scratch import materialise
+
 PERCENTS = (50, 90, 95, 99)
 
 
@@ -17,19 +19,24 @@ def to_long(wide: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
 def percentiles(long: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """count, p50, p90, p95, p99 and max by nearest rank: the element at round((n - 1) * p / 100).
 
-    Equal values are counted before the shuffle and the running count goes over distinct values, so
-    a frequent value or a group with a third of the rows is one row of it. Groups without a value
-    have no row."""
+    Equal values are counted before the shuffle, so a frequent value is one row. The counts are dealt
+    by range of (group, value) and written once; each part of a group is then ranked by itself, behind
+    the counts of the parts before it, so no task takes a whole group. Groups without a value have no row."""
     counted = long.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    up_to = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    running = counted.withColumn("_upto", F.sum("_n").over(up_to))
-    total = counted.groupBy(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(by))).agg(F.sum("_n").alias("count"), F.max(value).alias("max"))
-    same = F.lit(True)
+    held = materialise(counted.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "counts")
+    keys = [F.col(c).alias(f"_k{k}") for k, c in enumerate(by)]
+    parts = held.groupBy(*keys, F.col("_part").alias("_p")).agg(F.sum("_n").alias("_in"), F.max(value).alias("_most"))
+    group = Window.partitionBy(*(f"_k{k}" for k in range(len(by))))
+    ahead = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("*", F.coalesce(F.sum("_in").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_in").over(group).alias("count"), F.max("_most").over(group).alias("max"))
+    same = F.col("_part") == F.col("_p")
     for k, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_k{k}"))
-    joined = running.join(total, same)
+    inside = Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    joined = held.withColumn("_here", F.sum("_n").over(inside)).join(parts, same)
+    upto = F.col("_here") + F.col("_ahead")
     at = lambda p: F.round((F.col("count") - 1) * p / F.lit(100.0)).cast("long")
-    picks = [F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(f"p{p}") for p in PERCENTS]
+    picks = [F.min(F.when(upto > at(p), F.col(value))).alias(f"p{p}") for p in PERCENTS]
     return joined.groupBy(*by, "count", "max").agg(*picks).select(*by, "count", *(f"p{p}" for p in PERCENTS), "max")
 
 

@@ -10,7 +10,7 @@ from quillforge.operators import profile, resolve, rules
 from quillforge.plans.registry import query, table
 
 WORDS_SQL = "list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda t: t <> '')"
-DEFS_SQL = f"defs AS (SELECT DISTINCT 'item' || item_id AS file, unnest({WORDS_SQL}) AS name FROM benchmark), refs AS (SELECT DISTINCT unnest({WORDS_SQL}) AS ref FROM documents WHERE lang = 'en'), many AS (SELECT name, count(*) AS files FROM defs GROUP BY name HAVING count(*) > 1)"
+DEFS_SQL = f"defs AS (SELECT DISTINCT 'item' || item_id AS file, unnest({WORDS_SQL}) AS name FROM benchmark), refs AS (SELECT DISTINCT unnest({WORDS_SQL}) AS ref FROM documents), many AS (SELECT name, count(*) AS files FROM defs GROUP BY name HAVING count(*) > 1)"
 UNCOVERED_SQL = f"{DEFS_SQL}, unc AS (SELECT file, name FROM defs WHERE NOT (name IN (SELECT ref FROM refs) AND name NOT IN (SELECT name FROM many)))"
 BY_FILE_SQL = f"{UNCOVERED_SQL}, byfile AS (SELECT file, count(*) AS definitions, count(*) - count(*) FILTER ((file, name) IN (SELECT (file, name) FROM unc)) AS covered FROM defs GROUP BY file), pct AS (SELECT file, definitions, covered, CAST(round(covered / definitions * 100) AS BIGINT) AS percent FROM byfile)"
 
@@ -21,7 +21,7 @@ def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.explode(F.array_distinct(T.words(F.col("text")))).alias("ref")).distinct()
+    return table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(T.words(F.col("text")))).alias("ref")).distinct()
 
 
 def unmentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,10 +56,11 @@ def covering_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.covering_tests(own, used)
 
 
-@query(f"WITH {DEFS_SQL}, ident AS (SELECT file, name AS ident FROM defs WHERE length(name) >= 12), own AS (SELECT d.name, d.file, i.ident FROM defs d JOIN many ON many.name = d.name JOIN ident i ON i.file = d.file JOIN refs ON refs.ref = i.ident), alone AS (SELECT name, ident, min(file) AS file FROM own GROUP BY name, ident HAVING count(*) = 1) SELECT name, min(file) AS file FROM alone GROUP BY name HAVING count(DISTINCT file) = 1")
+@query(f"WITH {DEFS_SQL}, ident AS (SELECT file, name AS ident FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY length(name) DESC, name) AS k FROM defs) WHERE k = 1), own AS (SELECT d.name, d.file, i.ident FROM defs d JOIN many ON many.name = d.name JOIN ident i ON i.file = d.file JOIN refs ON refs.ref = i.ident), alone AS (SELECT name, ident, min(file) AS file FROM own GROUP BY name, ident HAVING count(*) = 1) SELECT name, min(file) AS file FROM alone GROUP BY name HAVING count(DISTINCT file) = 1")
 def disambiguated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An item goes by its longest word, the first of equal ones."""
     defs = definitions(spark, sf_dir)
-    identifiers = defs.filter(F.length("name") >= 12).select("file", F.col("name").alias("ident"))
+    identifiers = defs.groupBy("file").agg(F.min(F.struct((-F.length("name")).alias("n"), "name")).alias("x")).select("file", F.col("x.name").alias("ident"))
     return resolve.disambiguate(defs, identifiers, references(spark, sf_dir))
 
 

@@ -43,10 +43,11 @@ def entity_graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(*entity_graph(spark, sf_dir))
 
 
-@query("SELECT 'c:' || c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'd:' || doc_id AS node FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def entity_graph_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "customer").select(_key("c", "c_custkey").alias("node"))
-    edges = table(spark, sf_dir, "orders").select(_key("o", "o_orderkey").alias("src"), _key("c", "o_custkey").alias("dst")).distinct()
+    """Documents that no label points at."""
+    nodes = table(spark, sf_dir, "documents").select(_key("d", "doc_id").alias("node"))
+    edges = table(spark, sf_dir, "labels").select(_key("l", "doc_id").alias("src"), _key("d", "doc_id").alias("dst")).distinct()
     return graph.orphans(graph.degrees(nodes, edges), T.is_entry_point(F.col("node"))).select("node")
 
 
@@ -61,10 +62,14 @@ def entity_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.layers(edges, graph.strong_components(nodes, edges)).select("node", "scc", "layer")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS dst WHERE false")
+@query(f"""WITH RECURSIVE {ENTITY_SQL}, up(node, layer) AS (SELECT node, 0 FROM nodes UNION ALL SELECT e.src, u.layer + 1 FROM up u JOIN edges e ON e.dst = u.node), lay AS (SELECT node, max(layer) AS layer FROM up GROUP BY node),
+back AS (SELECT 'n:' || s_nationkey AS src, 's:' || min(s_suppkey) AS dst FROM supplier GROUP BY s_nationkey)
+SELECT e.src, e.dst FROM (SELECT src, dst FROM edges UNION ALL SELECT src, dst FROM back) e JOIN lay a ON a.node = e.src JOIN lay b ON b.node = e.dst WHERE a.layer < b.layer""")
 def entity_layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layers of the foreign keys, held against these and edges from each nation to its first supplier."""
     nodes, edges = entity_graph(spark, sf_dir)
-    return graph.layer_violations(edges, graph.layers(edges, graph.strong_components(nodes, edges)))
+    back = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s")).select(_key("n", "s_nationkey").alias("src"), _key("s", "s").alias("dst"))
+    return graph.layer_violations(edges.unionByName(back), graph.layers(edges, graph.strong_components(nodes, edges)))
 
 
 @query(f"WITH {EVENT_SQL} SELECT src, dst FROM edges")
@@ -157,33 +162,42 @@ def module_names_from_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_modules(spark, sf_dir)
 
 
-IMPORT_SQL = "m AS (SELECT DISTINCT module, bare FROM mods), imp AS (SELECT DISTINCT module, regexp_replace(module, '\\.[^.]*$', '') AS parent, b.bare AS import FROM m CROSS JOIN (SELECT DISTINCT bare FROM m) b WHERE length(b.bare) = 1 AND NOT contains(b.bare, '.'))"
+def import_sql(what: str) -> str:
+    return f"m AS (SELECT DISTINCT module, bare FROM mods), imp AS (SELECT DISTINCT a.module, regexp_replace(a.module, '\\.[^.]*$', '') AS parent, {what} AS import FROM mods a JOIN mods b ON b.page_id = a.page_id + 1)"
 
 
-@query(f"WITH {MODULE_SQL}, {IMPORT_SQL}, met AS (SELECT i.module AS src, i.import, m.module AS dst, starts_with(m.module, i.parent || '.') AS below FROM imp i JOIN m ON m.bare = i.import), c AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (below) OVER w AS nb FROM met WINDOW w AS (PARTITION BY src, import)) SELECT DISTINCT src, dst FROM c WHERE (n = 1 OR (below AND nb = 1)) AND src <> dst")
+def next_imports(spark: SparkSession, sf_dir: str, what: str) -> tuple[DataFrame, DataFrame]:
+    """(imports, modules): every page imports a name of the page after it; `what` is an expression over its columns."""
+    pages = page_modules(spark, sf_dir)
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.expr(what).alias("import"))
+    imports = pages.select("page_id", "module", F.regexp_replace("module", "\\.[^.]*$", "").alias("parent")).join(after, "page_id").select("module", "parent", "import").distinct()
+    return imports, pages.select("module", "bare").distinct()
+
+
+@query(f"WITH {MODULE_SQL}, {import_sql('b.bare')}, met AS (SELECT i.module AS src, i.import, m.module AS dst, starts_with(m.module, i.parent || '.') AS below FROM imp i JOIN m ON m.bare = i.import WHERE NOT contains(i.import, '.')), c AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (below) OVER w AS nb FROM met WINDOW w AS (PARTITION BY src, import)) SELECT DISTINCT src, dst FROM c WHERE (n = 1 OR (below AND nb = 1)) AND src <> dst")
 def bare_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    modules = page_modules(spark, sf_dir).select("module", "bare").distinct()
-    names = F.broadcast(modules.select(F.col("bare").alias("import")).filter((F.length("import") == 1) & ~F.col("import").contains(".")).distinct())  # one character each
-    imports = modules.join(names).select("module", "import", F.regexp_replace("module", "\\.[^.]*$", "").alias("parent"))
-    return resolve.resolve_bare(imports, modules)
+    """Every page imports the bare name of the next one; several pages may have it."""
+    return resolve.resolve_bare(*next_imports(spark, sf_dir, "bare"))
 
 
-HREF_SQL = "link AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS h FROM pages)"
+_TAIL_SQL = "regexp_extract(b.module, '[^.]*\\.[^.]*$')"
 
 
-@query(f"WITH {MODULE_SQL}, m AS (SELECT DISTINCT module, bare FROM mods), imp AS (SELECT DISTINCT module, regexp_replace(module, '\\.[^.]*$', '') AS parent, regexp_extract(module, '[^.]*\\.[^.]*$') AS import FROM m), met AS (SELECT i.module AS src, i.import, m.module AS dst, starts_with(m.module, i.parent || '.') AS below FROM imp i JOIN m ON m.bare = regexp_extract(i.import, '[^.]*$') AND ends_with(m.module, i.import) WHERE contains(i.import, '.')), c AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (below) OVER w AS nb FROM met WINDOW w AS (PARTITION BY src, import)) SELECT DISTINCT src, dst FROM c WHERE (n = 1 OR nb <> 1 OR below) AND src <> dst")
+@query(f"WITH {MODULE_SQL}, {import_sql(_TAIL_SQL)}, met AS (SELECT i.module AS src, i.import, m.module AS dst, starts_with(m.module, i.parent || '.') AS below FROM imp i JOIN m ON m.bare = regexp_extract(i.import, '[^.]*$') AND ends_with(m.module, i.import) WHERE contains(i.import, '.')), c AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (below) OVER w AS nb FROM met WINDOW w AS (PARTITION BY src, import)) SELECT DISTINCT src, dst FROM c WHERE (n = 1 OR nb <> 1 OR below) AND src <> dst")
 def dotted_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page imports the last two parts of its own name, which other pages may end with too."""
-    modules = page_modules(spark, sf_dir).select("module", "bare").distinct()
-    imports = modules.select("module", F.regexp_replace("module", "\\.[^.]*$", "").alias("parent"), F.regexp_extract("module", "[^.]*\\.[^.]*$", 0).alias("import"))
-    return resolve.resolve_dotted(imports, modules)
+    """Every page imports the last two parts of the next one's name, which other pages may end with too."""
+    return resolve.resolve_dotted(*next_imports(spark, sf_dir, "regexp_extract(module, '[^.]*[.][^.]*$', 0)"))
+
+
+HREF_SQL = "link AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS h FROM pages UNION ALL SELECT page_id - 1, module FROM mods)"
 
 
 @query(f"WITH {MODULE_SQL}, {HREF_SQL}, m AS (SELECT DISTINCT page_id, module FROM mods) SELECT DISTINCT a.module AS src, b.module AS dst FROM link JOIN m a ON a.page_id = link.page_id JOIN m b ON b.module = h WHERE a.module <> b.module")
 def page_import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links to addresses outside the table make no edge."""
+    """A page links to what its text names, and to the page after it; addresses outside the table make no edge."""
     modules = page_modules(spark, sf_dir).select("page_id", "module")
     links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("import"))
+    links = links.unionByName(modules.select((F.col("page_id") - 1).alias("page_id"), F.col("module").alias("import")))
     return resolve.resolve_exact(links.join(modules, "page_id").select("module", "import"), modules.select("module").distinct())
 
 

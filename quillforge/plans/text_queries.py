@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillforge.functions import text as T
 from quillforge.operators import dedup, profile, render, rules
 from quillforge.plans.registry import query, table
+from quillforge.sources.scratch import materialise
 
 MEASURES = ["lines", "tokens", "chars", "distinct_words"]
 LIMITS = {"lines": 20, "tokens": 700, "chars": 5000, "distinct_words": 400}
@@ -160,30 +161,33 @@ def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_code(F.col("text"))).alias("normal_md5"))
 
 
-SHINGLES_SQL = f"t AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents), s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t))"
+def shingles_sql(k: int) -> str:
+    return f"t AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents), s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {k - 1}], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM t))"
 
 
-@query(f"WITH {SHINGLES_SQL} SELECT doc_id, count(*) AS shingles FROM s GROUP BY doc_id")
+@query(f"WITH {shingles_sql(3)} SELECT doc_id, count(*) AS shingles FROM s GROUP BY doc_id")
 def doc_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.shingle_rows(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("shingles"))
 
 
-HASHES, BANDS, ALIKE = 16, 4, 0.75
+#: Words of a shingle, hashes, bands and the least similarity of near-duplicate documents.
+WORDS, HASHES, BANDS, ALIKE = 5, 100, 20, 0.8
 _LEAST = ", ".join(f"coalesce(min((x * {a} + {b}) % {dedup.PRIME}), {dedup.PRIME})" for a, b in dedup.coefficients(HASHES))
-SIGNED_SQL = f"""{SHINGLES_SQL}, x AS (SELECT d.doc_id, ('0x' || substr(md5(shingle), 1, 15))::BIGINT % {dedup.PRIME} AS x FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id),
+SIGNED_SQL = f"""{shingles_sql(WORDS)}, x AS (SELECT d.doc_id, ('0x' || substr(md5(shingle), 1, 15))::BIGINT % {dedup.PRIME} AS x FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id),
 sig AS (SELECT doc_id, [{_LEAST}] AS g FROM x GROUP BY doc_id)"""
-PAIRS_SQL = f"""{SIGNED_SQL}, rows AS (SELECT doc_id, b, md5(array_to_string(g[b * {HASHES // BANDS} + 1:(b + 1) * {HASHES // BANDS}], ':')) AS k FROM sig, range({BANDS}) r(b)),
-fit AS (SELECT b, k FROM rows GROUP BY b, k HAVING count(*) BETWEEN 2 AND 100),
-cand AS (SELECT DISTINCT x.doc_id AS id1, y.doc_id AS id2 FROM rows x JOIN fit f ON x.b = f.b AND x.k = f.k JOIN rows y ON x.b = y.b AND x.k = y.k AND x.doc_id < y.doc_id),
+PAIRS_SQL = f"""{SIGNED_SQL}, cls AS (SELECT min(doc_id) AS doc_id, g FROM sig GROUP BY g),
+rows AS (SELECT doc_id, b, md5(array_to_string(g[b * {HASHES // BANDS} + 1:(b + 1) * {HASHES // BANDS}], ':')) AS k FROM cls, range({BANDS}) r(b)),
+cand AS (SELECT x.doc_id AS id1, y.doc_id AS id2 FROM rows x JOIN rows y ON x.b = y.b AND x.k = y.k AND x.doc_id < y.doc_id
+UNION SELECT cls.doc_id, sig.doc_id FROM cls JOIN sig ON sig.g = cls.g AND cls.doc_id < sig.doc_id),
 pairs AS (SELECT id1, id2, similarity FROM (SELECT id1, id2, len(list_filter(list_zip(a.g, c.g), lambda p: p[1] = p[2])) / {HASHES}.0 AS similarity FROM cand JOIN sig a ON a.doc_id = id1 JOIN sig c ON c.doc_id = id2) WHERE similarity >= {ALIKE})"""
 
 
 def doc_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.signatures(table(spark, sf_dir, "documents"), "doc_id", "text", 3, HASHES)
+    return dedup.signatures(table(spark, sf_dir, "documents"), "doc_id", "text", WORDS, HASHES)
 
 
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = doc_signatures(spark, sf_dir)
+    signed = materialise(doc_signatures(spark, sf_dir), "signatures")
     return dedup.verified(dedup.candidates(signed, "doc_id", BANDS, exact=True), signed, "doc_id", ALIKE)
 
 
@@ -194,7 +198,21 @@ def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS_SQL} SELECT id1, id2 FROM cand")
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.candidates(doc_signatures(spark, sf_dir), "doc_id", BANDS, exact=True)
+    return dedup.candidates(materialise(doc_signatures(spark, sf_dir), "signatures"), "doc_id", BANDS, exact=True)
+
+
+@query(f"""WITH {shingles_sql(WORDS)}, nxt AS (SELECT d.doc_id, d.doc_id + 1 AS other FROM documents d JOIN documents o ON o.doc_id = d.doc_id + 1), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_have AS (SELECT p.doc_id, count(*) AS c FROM nxt p JOIN s a ON a.doc_id = p.doc_id JOIN s b ON b.doc_id = p.other AND b.shingle = a.shingle GROUP BY p.doc_id)
+SELECT p.doc_id AS id1, p.other AS id2, coalesce(c, 0) AS both, CASE WHEN coalesce(x.n, 0) + coalesce(y.n, 0) = 0 THEN 0.0 ELSE coalesce(c, 0) / (coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(c, 0)) END AS jaccard
+FROM nxt p LEFT JOIN n x ON x.doc_id = p.doc_id LEFT JOIN n y ON y.doc_id = p.other LEFT JOIN both_have h ON h.doc_id = p.doc_id""")
+def shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact similarity of the shingle sets of each document and the next one."""
+    docs = table(spark, sf_dir, "documents")
+    held = dedup.shingle_sets(docs, "doc_id", "text", WORDS)
+    pairs = held.alias("a").join(held.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t")), "doc_id")
+    both = F.size(F.array_intersect("s", "t")).cast("long")
+    whole = F.size("s") + F.size("t") - both
+    return pairs.select(F.col("doc_id").alias("id1"), (F.col("doc_id") + 1).alias("id2"), both.alias("both"), F.when(whole == 0, 0.0).otherwise(both / whole).alias("jaccard"))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT id1, id2, CAST(similarity AS DOUBLE) AS similarity FROM pairs")
@@ -212,7 +230,7 @@ def near_dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {CLUSTER_SQL} SELECT cluster_id, count(DISTINCT id) AS size, (SELECT round(avg(similarity), 9) FROM pairs p JOIN member q ON q.id = p.id1 WHERE q.cluster_id = m.cluster_id) AS avg_similarity FROM member m GROUP BY cluster_id")
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = doc_pairs(spark, sf_dir)
+    pairs = materialise(doc_pairs(spark, sf_dir), "pairs")
     return dedup.cluster_summary(pairs, dedup.clusters(pairs)).withColumn("avg_similarity", F.round("avg_similarity", 9))
 
 
