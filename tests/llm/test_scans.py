@@ -5,6 +5,8 @@ import zlib
 import numpy as np
 import pytest
 from brute import base_secrets
+from pyspark.sql import functions as F
+
 from quillforge.llm import langid, licenses, media, secrets
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -98,11 +100,50 @@ def slow_ngrams(text):
 
 
 def test_ngrams_match_brute_force():
-    texts = ["Hello, wörld! 1a", "", "123 456", "ÀÉ x", "İstanbul ẞ", "日本 a"]
-    doc, code = langid.ngrams(texts)
-    for d, text in enumerate(texts):
-        found, n = np.unique(code[doc == d], return_counts=True)
-        assert dict(zip(found.tolist(), n.tolist(), strict=True)) == slow_ngrams(text), text
+    texts = ["Hello, wörld! 1a", "", "123 456", "ÀÉ x", "İstanbul ẞ", "日本 a", "ΟΔΟΣ. ΣΑΣ'Σ", "word " * 40]
+    for most in (1, 7, 30, 1 << 18):  # whole, and in parts that are added
+        found = {k: dict(zip(code.tolist(), n.tolist(), strict=True)) for k, code, n in langid.counted(texts, most)}
+        assert found == {k: want for k, text in enumerate(texts) if (want := slow_ngrams(text))}, most
+        assert all("".join(t for i, t in sum(langid.parts(texts, most), []) if i == k) == text.lower() for k, text in enumerate(texts))
+
+
+def slow_prediction(text, rows):
+    """(language, score) by a plain out-of-place distance; rows are (language, code, rank)."""
+    counts = slow_ngrams(text or "")
+    top = sorted(counts, key=lambda c: (-counts[c], c))[: langid.PROFILE]
+    if not top:
+        return "und", 0.0
+    profile = {}
+    for lang, code, rank in rows:
+        profile.setdefault(lang, {})[code] = rank
+    apart = {lang: sum(abs(ranks[c] - k) if c in ranks else langid.PROFILE for k, c in enumerate(top)) for lang, ranks in profile.items()}
+    best = min(sorted(apart), key=apart.get)
+    return best, 1 - apart[best] / (langid.PROFILE * len(top))
+
+
+def test_op7_matches_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    total = {}
+    for d, text, lang in docs:
+        if lang is not None and text and zlib.crc32(str(d).encode()) % 4 != 2:
+            for code, n in slow_ngrams(text).items():
+                total.setdefault(lang, {})[code] = total.get(lang, {}).get(code, 0) + n
+    rows = [(lang, code, k) for lang, n in total.items() for k, code in enumerate(sorted(n, key=lambda c: (-n[c], c))[: langid.PROFILE])]
+    found = {r.doc_id: r for r in langid.op7_language(spark, sf_dir).collect()}
+    assert len(found) == len(docs)
+    for d, text, _ in docs:
+        name, score = slow_prediction(text, rows)
+        assert (found[d].lang_pred, found[d].held_out) == (name, zlib.crc32(str(d).encode()) % 4 == 2) and abs(found[d].score - score) < 1e-12
+
+
+def test_very_long_texts_of_language_id(spark):
+    long = "the cat and the dog are in the house " * 60000
+    frame = spark.createDataFrame([(1, long, "en"), (2, "der hund und die katze sind nicht in dem haus", "de"), (3, long, None), (4, "x" * 700000, None)], "doc_id long, text string, lang string")
+    rows = langid.profiles(frame)
+    found = {r.doc_id: r for r in langid.predict(frame, langid.Classifier(rows)).collect()}
+    assert [found[d].lang_pred for d in (1, 2, 3)] == ["en", "de", "en"] and found[1].score == found[3].score
+    kept = {r.doc_id: r for r in langid.keep_known(frame).collect()}
+    assert set(kept) == {1, 2, 3} and kept[3].lang == "en" and kept[3].text == long
 
 
 LANGS = {"en": "the cat and the dog are in the house with that thing", "de": "der hund und die katze sind nicht in dem haus mit einer", "fr": "le chien et la chatte sont dans une maison avec les autres"}
@@ -127,9 +168,12 @@ def test_profiles_rank_and_predict(spark):
     assert all(found[d].lang_pred == lang and 0 <= found[d].score <= 1 for d, _, lang in docs[:36])
     assert [found[d].lang_pred for d in (900, 901, 902, 903)] == ["und", "und", "und", "en"]
     kept = langid.keep_known(frame)
-    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {d for d, _, _ in docs} - {900, 901, 902}
+    assert kept.columns == frame.columns and {r.doc_id: r.lang for r in kept.collect()} == {d: lang or "en" for d, _, lang in docs if d not in (900, 901, 902)}
+    strange = frame.unionByName(spark.createDataFrame([(950, "Жзий цчшъ бвгд", "en")], frame.schema))  # no n-gram of any profile
+    assert 950 not in {r.doc_id for r in langid.keep_known(strange.filter("doc_id < 36 or doc_id = 950").withColumn("lang", F.when(F.col("doc_id") < 36, F.col("lang")))).collect()}
     nothing = langid.keep_known(frame.filter("false"))
     assert nothing.collect() == []
+    assert langid.keep_known(frame.withColumn("lang", F.lit(None).cast("string"))).count() == len(docs)
     unlabelled = langid.predict(frame, langid.Classifier(langid.profiles(frame.filter("lang is null"))))
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
