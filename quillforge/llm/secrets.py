@@ -1,18 +1,23 @@
 """Secret scans: three base patterns, and zstandard novelty for strings in a sensitive context.
 
-A candidate is a run of 16 or more token characters that has a sensitive word in the AROUND
-characters on either side and touches no base span; of a run that holds the word, what stands
-before and after it. Its novelty is what it
-adds to the compressed size of its surroundings, primed with a dictionary of identifiers and with
-the identifiers of the surrounding text: a known or repeated name adds next to nothing, a random
-string nearly its own length. At NOVEL of its length and more it is reported as `novel`.
-
-Cases: null and empty texts have no spans; spans are code points, end exclusive; equal texts give
-equal spans; other columns are ignored.
+The value of every base span is measured, and so is every other candidate: a run of SHORTEST or more
+token characters with a sensitive word in the AROUND characters on either side (of a run that holds
+the word, what stands before and after it), or of ASSIGNED or more right behind a sensitive name and
+`=` or `:`. Its novelty is what it adds to the compressed size of its surroundings, for each of its
+own bytes, under a compressor primed with a dictionary of identifiers: a known or repeated name adds
+next to nothing, a random string about its own length. A candidate that touches no base span and
+reaches NOVEL is reported as `novel`. AROUND, SHORTEST, ASSIGNED and NOVEL define what a sensitive
+context and an incompressible string are; they hold for every text alike.
+
+Cases: null and empty texts have no spans; spans are code points, end exclusive; a very long text is
+scanned whole, in time that grows with its length; equal starts go by kind as listed, so equal texts
+give equal spans, and repeated rows are rows each; an empty table gives no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import re
@@ -26,15 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from quillforge.llm.common import slices, strings, table
 
 KINDS = ("assign", "access", "hex", "novel")
-AROUND, SHORTEST = 512, 16
-NOVEL = 0.7
+AROUND, SHORTEST, ASSIGNED = 512, 16, 12
+NOVEL = 0.75
+LEVEL = 6
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 # A run of one class that is too short fails as a whole, so the least length can stand in the pattern.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _SENSITIVE = re.compile(r"password|passwd|secret|token|api[_-]?key|credential|authorization|bearer|private[_-]?key|access[_-]?key|signature", re.IGNORECASE | re.ASCII)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % ASSIGNED)
+_ASSIGNMENT = re.compile(r"""["']?\s*[:=]\s*["']?""")
 #: A superset of what any of the above can match; RE2 runs it over whole columns.
 _GATE = r"[0-9a-f]{16}|AKIA[A-Z0-9]{14}|(?i:passw|secret|token|api[_-]?key|credential|authorization|bearer|private[_-]?key|access[_-]?key|signature)"
 
@@ -49,7 +56,10 @@ IDENTIFIERS = (
     "staging static string struct subscription template tenant timeout token undefined update username value version "
     "webhook 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ your_api_key_here changeme xxxxxxxxxxxxxxxx"
 )
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,}")
+
+
+#: (start, end, kind, start of the value, novelty of the value)
+Span = tuple[int, int, str, int, float]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
@@ -59,16 +69,26 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return found + [(m.start(), m.end(), "hex", m.start()) for m in _HEX.finditer(text)]
 
 
+@functools.cache
+def _press() -> zstandard.ZstdCompressor:
+    """One compressor a process, with the dictionary digested once."""
+    primed = zstandard.ZstdCompressionDict((IDENTIFIERS + " ").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_checksum=False, write_content_size=False)
+
+
 def novelty(candidate: str, before: str, after: str) -> float:
     """Marginal compressed bytes of the candidate for each of its own, given its surroundings."""
-    names = " ".join(dict.fromkeys(_NAME.findall(before + " " + after)))
-    primed = zstandard.ZstdCompressionDict((names + " " + IDENTIFIERS + " ").encode("utf-8", "ignore"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    press = zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False)
     context = (before + "\n" + after + "\n").encode("utf-8", "ignore")
-    return (len(press.compress(context + candidate.encode())) - len(press.compress(context))) / len(candidate)
+    own = candidate.encode("utf-8", "ignore")
+    return (len(_press().compress(context + own)) - len(_press().compress(context))) / max(1, len(own))
+
+
+def _measure(text: str, a: int, b: int) -> float:
+    return novelty(text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND])
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+def novel_spans(text: str, base: list[tuple[int, int, str, int]]) -> list[Span]:
     words = [m.span() for m in _SENSITIVE.finditer(text)]
     if not words:
         return []
@@ -86,20 +106,22 @@ def novel_spans(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple[
         # a run that holds the word itself is measured beside it
         parts = [(a, b)] if len(near) > len(inner) else []
         parts += [(y, b) for _, y in inner] + [(a, x) for x, _ in inner]
-        own: list[tuple[int, int]] = []
+        own: list[Span] = []
         for x, y in parts:
-            if y - x < SHORTEST or any(p < y and x < q for p, q in over) or any(p <= x and y <= q for p, q in own):
+            least = ASSIGNED if any(q < x and _ASSIGNMENT.fullmatch(text, q, x) for _, q in near if x - 8 <= q) else SHORTEST
+            if y - x < least or any(p < y and x < q for p, q in over) or any(p <= x and y <= q for p, q, *_ in own):
                 continue
-            if novelty(text[x:y], text[max(0, x - AROUND) : x], text[y : y + AROUND]) >= NOVEL:
-                own.append((x, y))
-        found += [(x, y, "novel", x) for x, y in own]
+            if (new := _measure(text, x, y)) >= NOVEL:
+                own.append((x, y, "novel", x, new))
+        found += own
     return found
 
 
-def find_spans(text: str) -> list[tuple[int, int, str, int]]:
+def find_spans(text: str) -> list[Span]:
     """All spans by start, then kind as listed."""
     base = base_spans(text)
-    return sorted(base + novel_spans(text, base), key=lambda s: (s[0], KINDS.index(s[2])))
+    found = [(a, b, kind, v, _measure(text, v, b)) for a, b, kind, v in base]
+    return sorted(found + novel_spans(text, base), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def _gate(texts: pa.Array) -> list[bool]:
@@ -107,24 +129,24 @@ def _gate(texts: pa.Array) -> list[bool]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans) of every row; spans are an array of (kind, start, end, value_start)."""
+    """(id, spans) of every row; spans are an array of (kind, start, end, value_start, novelty)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value_start", pa.int64())])
+    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value_start", pa.int64()), ("novelty", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = strings(batch.column(1))
-            spans = [[{"kind": k, "start": a, "end": b, "value_start": v} for a, b, k, v in find_spans(t.as_py())] if hit else [] for t, hit in zip(texts, _gate(texts), strict=True)]
+            spans = [[{"kind": k, "start": a, "end": b, "value_start": v, "novelty": x} for a, b, k, v, x in find_spans(t.as_py())] if hit else [] for t, hit in zip(texts, _gate(texts), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(span))], names=["id", "spans"])
 
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:long,end:long,value_start:long>>")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:long,end:long,value_start:long,novelty:double>>")
     return out.withColumnRenamed("id", id_col)
 
 
 def redact(text: str, mark: str = "[REDACTED]") -> str:
     """The text with the value of each span replaced; overlapping values count as one."""
     parts, at = [], 0
-    for a, b in sorted((v, b) for _, b, _, v in find_spans(text)):
+    for a, b in sorted((v, b) for _, b, _, v, _ in find_spans(text)):
         if a >= at:
             parts += [text[at:a], mark]
         at = max(at, b)
@@ -158,9 +180,9 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
             count = lambda k: pa.array([sum(s["kind"] == k for s in r) for r in rows], pa.int64())
             joined = lambda r: ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r)
             base = [hashlib.sha256(joined([s for s in r if s["kind"] != "novel"]).encode()).hexdigest() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), count("assign"), count("access"), count("hex"), count("novel"), pa.array(base, pa.string()), pa.array(list(map(joined, rows)), pa.string())], names=["id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), count("assign"), count("access"), count("hex"), count("novel"), pa.array(base, pa.string()), pa.array(list(map(joined, rows)), pa.string()), pa.array([max((s["novelty"] for s in r), default=None) for r in rows], pa.float64())], names=["id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans", "most_novel"])
 
-    return scanned.select(scanned[id_col].alias("id"), "spans").mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return scanned.select(scanned[id_col].alias("id"), "spans").mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string, most_novel double").withColumnRenamed("id", id_col)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +15,7 @@ BASE_KINDS = ("assign", "access", "hex")
 
 
 def render(spans, kinds=None):
-    return ",".join(f"{k}:{a}:{b}" for a, b, k, _ in spans if kinds is None or k in kinds)
+    return ",".join(f"{k}:{a}:{b}" for a, b, k, *_ in spans if kinds is None or k in kinds)
 
 
 SECRETS = [
@@ -40,7 +42,7 @@ def test_base_secrets_match_brute_force():
 
 def test_novel_strings_need_context_and_entropy():
     random_string = "q7Zk29fLx0PvB3mWn8Rt"
-    found = lambda t: [k for _, _, k, _ in secrets.find_spans(t)]
+    found = lambda t: [k for _, _, k, *_ in secrets.find_spans(t)]
     assert found(f"Authorization: Bearer {random_string}") == ["novel"]
     assert found(f"the parcel number is {random_string}") == []
     assert found("bearer client_credentials_2_access_token_settings") == []
@@ -56,17 +58,71 @@ def test_novelty_alone_decides_near_a_sensitive_word(text, value):
     found = secrets.find_spans(text.format(value))
     a = text.index("{")
     wanted = [(a, a + len(value))] if secrets.novelty(value, text[:a], text[a + 2 :]) >= secrets.NOVEL else []
-    assert [(x, y) for x, y, kind, _ in found if kind == "novel"] == wanted
+    assert [(x, y) for x, y, kind, *_ in found if kind == "novel"] == wanted
     assert wanted
 
 
 def test_runs_that_hold_the_word_are_measured_beside_it():
     value = "q7Zk29fLx0PvB3mWn8Rt"
     for text in (f"signature={value}", f"bearer/{value}", f"{value}_credential"):
-        ((a, b, kind, _),) = secrets.find_spans(text)
+        ((a, b, kind, *_),) = secrets.find_spans(text)
         assert kind == "novel" and value in text[a:b]
 
 
+def slow_novel(text):
+    """Novel spans by the docstring, every word against every run."""
+    base = secrets.base_spans(text)
+    words = [m.span() for m in re.finditer(r"(?i)password|passwd|secret|token|api[_-]?key|credential|authorization|bearer|private[_-]?key|access[_-]?key|signature", text, re.ASCII)]
+    out = set()
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text):
+        a, b = m.span()
+        near = [(p, q) for p, q in words if p >= a - secrets.AROUND and q <= b + secrets.AROUND]
+        inside = [(p, q) for p, q in near if q > a and p < b]
+        own = []
+        for x, y in [(a, b)] * (len(near) > len(inside)) + [(q, b) for _, q in inside] + [(a, p) for p, _ in inside]:
+            assigned = any(x - 8 <= q < x and re.fullmatch(r"""["']?\s*[:=]\s*["']?""", text[q:x]) for _, q in near)
+            if y - x >= (12 if assigned else 16) and not any(p < y and x < q for p, q, *_ in base) and not any(p <= x and y <= q for p, q in own):
+                if secrets.novelty(text[x:y], text[max(0, x - secrets.AROUND) : x], text[y : y + secrets.AROUND]) >= secrets.NOVEL:
+                    own.append((x, y))
+        out |= set(own)
+    return out
+
+
+def test_novel_spans_match_brute_force():
+    draw = random.Random(4)
+    parts = ["token", "credential", "Bearer", "private_key", "=", ": ", " ", '"', "q7Zk29fLx0Pv", "B3mWn8RtAb", "the words around it ", "é", "\n", "x" * 300, "deadbeefdeadbeef", "zzzzzzzzzzzzzzzz"]
+    some = 0
+    for _ in range(600):
+        text = "".join(draw.choice(parts) for _ in range(draw.randrange(1, 40)))
+        want = slow_novel(text)
+        assert {(a, b) for a, b, kind, *_ in secrets.find_spans(text) if kind == "novel"} == want, text
+        some += len(want)
+    assert some > 40
+    assert [k for _, _, k, *_ in secrets.find_spans("credential: q7Zk29fLx0Pv")] == ["novel"] and not secrets.find_spans("credential q7Zk29fLx0Pv")
+
+
+def test_every_base_value_is_measured(spark, sf_dir):
+    known, new = secrets.find_spans('password = "abcdefghijklmnopqrstuvwxyz"'), secrets.find_spans('password = "q7Zk29fLx0PvB3mWn8RtYd5u2C"')
+    assert known[0][4] < 0.3 < 0.9 < new[0][4]
+    rows = [(r, text) for r, text in ((r, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())]
+    found = {r.doc_id: r for r in secrets.op8_secrets(spark, sf_dir).collect()}
+    assert len(found) == len(rows)
+    for r, text in rows:
+        mine = found[r.doc_id]
+        assert mine.base_sha256 == hashlib.sha256(base_secrets(text).encode()).hexdigest() and (mine.most_novel is None) == (mine.spans == "")
+        assert {tuple(map(int, s.split(":")[1:])) for s in mine.spans.split(",") if s.startswith("novel")} == slow_novel(text or "")
+    assert any(r.most_novel is not None for r in found.values())
+
+
+def test_secret_scans_are_linear_and_take_empty_tables(spark):
+    began = time.time()
+    assert secrets.find_spans("token " * 200_000) == []
+    assert len(secrets.find_spans("the end. " * 100_000 + 'secret = "q7Zk29fLx0PvB3mWn8Rt"')) == 1
+    assert time.time() - began < 20
+    frame = spark.createDataFrame([(1, "x", "y")], "doc_id int, text string, novelty string").filter("false")
+    assert secrets.digest(secrets.scan(frame)).collect() == []
+
+
 def test_scan_and_redact_frames(spark):
     frame = spark.createDataFrame([(k, t, None if t is None else len(t), 1) for k, t in enumerate(SECRETS)], "doc_id long, text string, n_chars long, spans int")
     rows = {r.doc_id: r for r in secrets.digest(secrets.scan(frame)).collect()}
