@@ -39,6 +39,33 @@ def test_top_k_matches_brute_force(spark, monkeypatch, shard_rows):
     assert search.top_k(frame.filter("false"), F.col("vec_id") % 20 == 0).collect() == []
 
 
+@pytest.mark.parametrize("shard_rows", [10, 8192])
+def test_repeated_ids_and_hot_vectors(spark, monkeypatch, shard_rows):
+    """One shard or many, the same answers: an id asks once, with its shortest and then least vector."""
+    monkeypatch.setattr(search, "SHARD_ROWS", shard_rows)
+    draw = random.Random(8)
+    rows = [(d, [float(draw.randrange(-9, 9)) for _ in range(3)]) for d in range(1, 60)]
+    rows += [(d, [1.0, 2.0, 3.0]) for d in range(100, 180)]  # many copies of one vector
+    rows += [(20, [5.0, 1.0, 0.0]), (20, [-9.0, 0.5, 2.0]), (20, [1.0, 1.0]), (30, [2.0, 2.0, 2.0]), (7, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    scaled = [(d, [math.floor(64 * x) for x in v]) for d, v in rows]
+    want = set()
+    for q in {d for d, _ in rows if d % 20 == 0}:
+        v = min((w for d, w in scaled if d == q), key=lambda w: (len(w), w))
+        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), d) for d, w in scaled if d != q and len(w) == len(v))
+        want |= {(q, r + 1, d, -s) for r, (s, d) in enumerate(scores[:20])}
+    assert {tuple(r) for r in search.top_k(frame, F.col("vec_id") % 20 == 0).collect()} == want
+
+
+def test_cells_deal_copies_and_strangers():
+    draw = np.random.default_rng(5)
+    rows = draw.integers(-5, 5, (500, 4)).astype(float)
+    cells = search.Cells(rows, 16)
+    assert cells.count == 16 and np.bincount(cells.of(rows)).max() < 80
+    assert search.Cells(np.ones((9, 3)), 8).count == 1
+    assert set(search.Cells(np.array([[1.0], [1.0], [1.0], [2.0]]), 4).of(np.array([[1.0], [2.0], [9.0]])).tolist()) == {0, 1}
+
+
 def test_large_components_stay_exact(spark):
     rows = [(20, [1e15, 3.0]), (21, [1e15, 1.0]), (22, [-1e15, 5.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
