@@ -2,8 +2,9 @@
 
 An image is a numpy array of shape (height, width) for grey or (height, width, 3) for colour.
 Cases: null text reads as empty, empty text becomes one full row block of 255; equal texts give
-equal rows; every other input column is ignored, so clashing names do no harm; an empty table
-gives an empty result.
+equal rows; a very long text is one tall image, whose area means are summed in bands of BAND rows, so
+that no table of its size in wider numbers is made; every other input column is ignored, so clashing
+names do no harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,17 +13,19 @@ import hashlib
 import io
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillforge.llm.common import strings, table
+from quillforge.llm.common import slices, table
 
 #: Samples in one row of a stored text image; payloads are padded to a multiple of it.
 ROW = 576
 TILE = (8, 9)
+#: Rows that are summed at once, and bytes of texts whose images are held at once.
+BAND, HELD_BYTES = 2048, 1 << 20
 
 
 class MediaError(ValueError):
@@ -144,12 +147,12 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the (fractional) source area under each target pixel, read from an integral image."""
+    """Mean of the (fractional) source area under each target pixel, read from an integral image.
+
+    Only the rows of the integral image that the target's edges fall on are kept."""
     rows, cols = image.shape
     if not rows or not cols:
         raise MediaError("the image has no samples")
-    total = np.zeros((rows + 1, cols + 1))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
 
     def along(count: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.arange(target + 1) * (count / target)
@@ -157,7 +160,15 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
         return low, np.minimum(low + 1, count), at - low
 
     low, high, part = along(rows, height)
-    across = total[low] * (1 - part)[:, None] + total[high] * part[:, None]
+    needed = np.unique(np.concatenate([low, high]))
+    total = np.zeros((len(needed), cols + 1))
+    above = np.zeros(cols)
+    for start in range(0, rows, BAND):
+        band = np.cumsum(image[start : start + BAND], axis=0, dtype=np.float64)
+        inside = np.flatnonzero((needed > start) & (needed <= start + len(band)))
+        total[inside, 1:] = np.cumsum(above + band[needed[inside] - start - 1], axis=1)
+        above = above + band[-1]
+    across = total[np.searchsorted(needed, low)] * (1 - part)[:, None] + total[np.searchsorted(needed, high)] * part[:, None]
     low, high, part = along(cols, width)
     corner = across[:, low] * (1 - part) + across[:, high] * part
     area = corner[1:, 1:] - corner[:-1, 1:] - corner[1:, :-1] + corner[:-1, :-1]
@@ -182,44 +193,44 @@ def store_text(text: bytes) -> bytes:
     return encode_pgm(np.frombuffer(text + b"\xff" * short, np.uint8).reshape(-1, ROW))
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its PGM, an NPY tile, and the difference hash of what was read back."""
+def _stored(text: str | None) -> tuple[int, bytes, bytes, bytes, str]:
+    """(bytes of the text, its PGM, and of what was read back: samples, tile and difference hash)."""
+    raw = (text or "").encode()
+    media = store_text(raw)
+    image = decode(media)
+    return len(raw), media, image.tobytes(), npy_tile(image), difference_hash(image)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1024):  # bounds what is held at once
-                batch = whole.slice(k, 1024)
-                rows = []
-                for text in strings(batch.column(1)).to_pylist():
-                    raw = text.encode()
-                    media = store_text(raw)
-                    image = decode(media)
-                    rows.append((len(raw), media, image.tobytes(), npy_tile(image), difference_hash(image)))
-                cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["id", "n_bytes", "media", "payload", "tile", "dhash"])
 
+def _rows(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[str | None], tuple]) -> DataFrame:
+    """A row of `schema` (behind the id) for each text; what is held at once is bounded by the texts' bytes."""
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary, payload binary, tile binary, dhash string")
-    return out.withColumnRenamed("id", id_col)
+    types = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    names, kinds = zip(*(part.split() for part in schema.split(", ")), strict=True)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=HELD_BYTES):
+            columns = zip(*map(make, batch.column(1).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, types[k]) for c, k in zip(columns, kinds, strict=True))], names=["id", *names])
 
-def digest(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Lengths and digests of the columns of text_media."""
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = lambda values: pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
-        for batch in batches:
-            media_bytes, payload = batch.column("media").to_pylist(), batch.column("payload").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("n_bytes"), pa.array([len(p) for p in payload], pa.int64()), sha(payload), pa.array([zlib.crc32(p[-32:]) for p in payload], pa.int64()), pa.array([len(m) for m in media_bytes], pa.int64()), sha(media_bytes), batch.column("dhash"), sha(batch.column("tile").to_pylist())],
-                names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"],
-            )
 
-    kind = media.schema[id_col].dataType.simpleString()
-    return media.withColumnRenamed(id_col, "id").mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string").withColumnRenamed("id", id_col)
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: its PGM, an NPY tile, and the difference hash of what was read back."""
+    return _rows(docs, id_col, text_col, "n_bytes long, media binary, payload binary, tile binary, dhash string", _stored)
+
+
+def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lengths and digests of the columns of text_media, taken where they are made."""
+
+    def make(text: str | None) -> tuple:
+        n, media, payload, tile, feature = _stored(text)
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        return n, len(payload), sha(payload), zlib.crc32(payload[-32:]), len(media), sha(media), feature, sha(tile)
+
+    return _rows(docs, id_col, text_col, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string", make)
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of `documents` stored as an image, read back, and described."""
-    return digest(text_media(table(spark, sf_dir, "documents")))
+    return describe(table(spark, sf_dir, "documents"))

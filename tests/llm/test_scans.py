@@ -1,4 +1,5 @@
 import hashlib
+import io
 import random
 import re
 import time
@@ -357,8 +358,10 @@ def area_by_hand(image, height, width):
     return out
 
 
-@pytest.mark.parametrize("shape,target", [((10, 7), (3, 5)), ((1, 576), (8, 9)), ((4, 4), (8, 9)), ((24, 24), (24, 24))])
-def test_area_resize(shape, target):
+@pytest.mark.parametrize("shape,target", [((10, 7), (3, 5)), ((1, 576), (8, 9)), ((4, 4), (8, 9)), ((24, 24), (24, 24)), ((37, 5), (8, 9))])
+@pytest.mark.parametrize("band", [1, 5, 2048])
+def test_area_resize(shape, target, band, monkeypatch):
+    monkeypatch.setattr(media, "BAND", band)
     image = np.random.default_rng(1).integers(0, 256, shape)
     assert np.allclose(media.area_resize(image, *target), area_by_hand(image, *target))
 
@@ -388,12 +391,18 @@ def test_media_frames(spark):
     docs = [(1, None), (2, ""), (3, "é" * 300), (4, "x" * 576), (5, "y" * 200000), (6, "x" * 576)]
     frame = spark.createDataFrame([(d, t, b"", "z") for d, t in docs], "doc_id long, text string, media binary, tile string")
     stored = {r.doc_id: r for r in media.text_media(frame).collect()}
-    rows = {r.doc_id: r for r in media.digest(media.text_media(frame)).collect()}
+    rows = {r.doc_id: r for r in media.describe(frame).collect()}
     for d, text in docs:
         raw = (text or "").encode()
         padded = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         assert bytes(stored[d].payload) == padded and rows[d].n_bytes == len(raw) and rows[d].payload_bytes == len(padded)
         assert rows[d].payload_sha256 == hashlib.sha256(padded).hexdigest() and rows[d].tail_crc32 == zlib.crc32(padded[-32:])
         assert rows[d].media_sha256 == hashlib.sha256(bytes(stored[d].media)).hexdigest() and rows[d].media_bytes == len(stored[d].media)
+        image = np.frombuffer(padded, np.uint8).reshape(-1, 576)
+        small = np.rint(area_by_hand(image, 8, 9) * 256).astype(int) if len(raw) < 1000 else None
+        if small is not None:
+            bits = "".join("01"[int(small[i, j] < small[i, j + 1])] for i in range(8) for j in range(8))
+            assert rows[d].feature == stored[d].dhash == f"{int(bits, 2):016x}"
+        assert rows[d].tile_sha256 == hashlib.sha256(bytes(stored[d].tile)).hexdigest() and np.load(io.BytesIO(stored[d].tile)).shape == (24, 24)
     assert stored[4][1:] == stored[6][1:] and len(stored[3].dhash) == 16
     assert media.text_media(frame.filter("false")).collect() == []
