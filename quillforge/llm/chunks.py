@@ -18,9 +18,6 @@ import pyarrow.compute as pc
 
 from quillforge.llm.common import byte_view
 
-#: Text that shares one dictionary of chunks.
-CHUNKED_BYTES = 16 << 20
-
 #: Distinct chunks that are encoded as one text; an encoder's heap grows with its text.
 BLOCK = 128
 

@@ -3,9 +3,9 @@
 A document's full windows stand alone. What is left of it is one item, placed into the fill level
 that makes the sum over levels of (partially filled windows at that level)^2 smallest; a level
 array holds the counts and each level a stack of its open windows. A task packs the rows of its
-own input partition, so nothing is shuffled; windows that are still open at its end are joined
-and cut anew into full windows and at last into windows whose sizes are powers of two, which take
-no padding.
+own input partition, so nothing is shuffled; windows that are still open at its end, or once they
+hold OPEN tokens between them, are joined and cut anew into full windows and at last into windows
+whose sizes are powers of two, which take no padding.
 
 Cases: a null or empty text is one token, the end id; a document of any length is cut freely;
 repeated rows are packed each on its own; ties go to the lowest level; a table without rows has
@@ -26,7 +26,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from quillforge.llm.chunks import CHUNKED_BYTES, ChunkCoder
+from quillforge.llm.chunks import ChunkCoder
 from quillforge.llm.common import slices, strings, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -34,6 +34,8 @@ WINDOW = 1024
 END_ID = 0
 #: The added tokens of byte_bpe_50k.json; none holds a space, before which chunks are cut.
 ADDED = {"<|endoftext|>": 50256}
+#: Tokens that open windows of a task hold before they are closed.
+OPEN = 1 << 22
 #: Sequence ids are task * TASK + count.
 TASK = 1 << 40
 
@@ -41,11 +43,15 @@ TASK = 1 << 40
 class Packer:
     """Online packing of (key, ids); yields (key, start, length, crc, total, sequence, offset)."""
 
-    def __init__(self, window: int = WINDOW, first_sequence: int = 0):
-        self.window, self.next = window, first_sequence
+    def __init__(self, window: int = WINDOW, first_sequence: int = 0, most: int = OPEN):
+        self.window, self.next, self.most = window, first_sequence, most
+        self._clear()
+
+    def _clear(self) -> None:
         #: Open windows at each fill level; level 0 stands for a new window, level `window` for a full one.
-        self.count = np.zeros(window + 1, dtype=np.int64)
-        self.open: list[list[tuple[int, list[tuple]]]] = [[] for _ in range(window + 1)]
+        self.count = np.zeros(self.window + 1, dtype=np.int64)
+        self.open: list[list[tuple[int, list[tuple]]]] = [[] for _ in range(self.window + 1)]
+        self.held = 0
 
     def _new(self) -> int:
         self.next += 1
@@ -77,11 +83,16 @@ class Packer:
             sequence, held = self._new(), []
         held.append((key, whole, part.copy(), total))
         fill = at + len(part)
+        self.held += len(part)
         if fill == w:
+            self.held -= w
             yield from self._write(sequence, held)
         else:
             self.open[fill].append((sequence, held))
             self.count[fill] += 1
+        if self.held > self.most:
+            yield from self.close()
+            self._clear()
 
     @staticmethod
     def _write(sequence: int, held: list[tuple]) -> Iterator[tuple]:
@@ -152,7 +163,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col:
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), *(pa.array(c, pa.int64()) for c in columns[1:])], names=names)
 
-        for batch in slices(batches, most=CHUNKED_BYTES):
+        for batch in slices(batches):
             id_type = batch.schema.field(0).type
             ids, first = coder.ids(strings(batch.column(1)))
             rows = []

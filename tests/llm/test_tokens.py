@@ -188,3 +188,27 @@ def test_pack_frame(spark):
     want = {d: [*library.encode(t or "", add_special_tokens=False).ids, 0] for d, t in docs}
     assert check_packing([tuple(r) for r in packing.pack(frame).collect()], 1024, want) == 0
     assert packing.pack(frame.filter("false")).collect() == []
+
+
+def test_op6_matches_the_library(spark, sf_dir):
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = {d: [*library.encode(t or "", add_special_tokens=False).ids, 0] for d, t in docs}
+    rows = packing.op6_packing(spark, sf_dir)
+    assert check_packing([tuple(r) for r in rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset").collect()], 1024, want) == 0
+
+
+def test_open_windows_are_bounded_and_equal_rows_stay_apart():
+    draw = random.Random(7)
+    packer, rows, want, most = packing.Packer(64, most=500), [], {}, 0
+    for d in range(600):
+        ids = [draw.randrange(50000) for _ in range(draw.choice([33, 34, 35, 40]))]  # no two fit into a window
+        want[d] = ids
+        rows += packer.add(d, np.array(ids, "<u4"))
+        most = max(most, packer.held)
+        assert packer.held == sum(len(p[2]) for level in packer.open for _, parts in level for p in parts)
+    rows += packer.close()
+    assert most <= 500 and check_packing(rows, 64, want) == 0
+    same = packing.Packer(64)
+    twins = [*same.add(1, np.arange(9, dtype="<u4")), *same.add(1, np.arange(9, dtype="<u4")), *same.close()]
+    assert len(twins) >= 2 and sum(r[2] for r in twins) == 18
