@@ -39,7 +39,7 @@ END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: Bytes of a word (with its mark) up to which words are scored side by side; longer ones alone.
 LONG = 160
 BLOCK = 1 << 13
-CHUNK_ROWS = 4096
+CHUNK_BYTES = 10 << 20
 
 
 class Lattice:
@@ -195,11 +195,11 @@ def score_texts(docs: DataFrame, train: Column, path: str | None = None, id_col:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) of every row; logs to base 10."""
     path = path or public_tokenizers.path(MODEL)
     spark = docs.sparkSession
-    chunks = ledger.chunk_count(docs.count(), parallelism(spark), CHUNK_ROWS)
+    chunks = ledger.chunk_count(*ledger.measure(docs, text_col), parallelism(spark), CHUNK_BYTES)
     buckets = max(parallelism(spark), chunks)
     sides = -(-chunks // 64)
     kind = docs.schema[id_col].dataType.simpleString()
-    dealt = docs.select(ledger.chunk_of(F.col(id_col), chunks).alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
+    dealt = docs.select(ledger.chunk_of(chunks, id_col, text_col).alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
 
     def learn(key: tuple, rows: pa.Table) -> pa.Table:
         chunk, part, lattice = key[0].as_py(), _Counted(rows), load(path)

@@ -5,8 +5,10 @@ Documents are dealt into chunks by their id. A chunk posts its distinct keys wit
 bucket of the key space. A bucket combines the values of equal keys and replies to every chunk
 that posted; the chunk meets its replies in a cogroup. Keys are one or two unsigned 64-bit words,
 values 64-bit integers (written as bytes of 8 bits where all of a row fit), both as binary columns;
-a mark of 8 bits may stand beside a key. Chunks and buckets are counted from the rows of the input,
-so that what a task holds does not grow with it.
+a mark of 8 bits may stand beside a key. Chunks and buckets are counted from the bytes of the input,
+so that what a task holds grows neither with it nor with the length of its texts (but for one text
+longer than a chunk). Where a table is so large that a chunk has fewer keys than there are buckets,
+a post holds one key.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of documents in a chunk, about.
-CHUNK_ROWS = 2048
+#: Bytes of texts, or of what stands for them, in a chunk, about.
+CHUNK_BYTES = 5 << 20
 
 POST = "bucket int, chunk int, keys binary, vals binary, marks binary"
 REPLY = "chunk int, keys binary, vals binary"
@@ -27,12 +29,19 @@ _POST = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.bi
 _REPLY = pa.schema([("chunk", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
 
 
-def chunk_count(rows: int, parallelism: int, chunk_rows: int = CHUNK_ROWS) -> int:
-    return max(1, min(parallelism, rows), -(-rows // chunk_rows))
+def chunk_count(size: int, rows: int, parallelism: int, chunk_bytes: int = CHUNK_BYTES) -> int:
+    return max(1, min(parallelism, rows), -(-size // chunk_bytes))
 
 
-def chunk_of(id_col: Column, chunks: int) -> Column:
-    return F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int")
+def measure(docs: DataFrame, text_col: str) -> tuple[int, int]:
+    """(bytes of all texts, rows)."""
+    found = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    return int(found.b), int(found.n)
+
+
+def chunk_of(chunks: int, *by: str) -> Column:
+    """By the id and, as an id may be null or stand in many rows, the text."""
+    return F.pmod(F.xxhash64(*by), F.lit(chunks)).cast("int")
 
 
 def order(keys: np.ndarray) -> np.ndarray:

@@ -104,9 +104,10 @@ def _tokens(sig: np.ndarray) -> np.ndarray:
 def postings(classes: DataFrame) -> DataFrame:
     """(token, df, id, n, sig) for the prefix tokens that other classes share; sig in 16 bits a coordinate."""
     spark = classes.sparkSession
-    chunks = ledger.chunk_count(classes.count(), parallelism(spark), 16384)
+    rows = classes.count()
+    chunks = ledger.chunk_count(rows * COORDINATES * 4, rows, parallelism(spark))
     buckets = max(parallelism(spark), chunks)
-    dealt = classes.withColumn("chunk", ledger.chunk_of(F.col("id"), chunks))
+    dealt = classes.withColumn("chunk", ledger.chunk_of(chunks, "id"))
 
     def post(key: tuple, rows: pa.Table) -> pa.Table:
         tokens = _tokens(_matrix(rows.column("sig"), np.uint32)).ravel()

@@ -13,7 +13,8 @@ Text is shuffled once, into chunks by id; what is posted at a level is each chun
 
 Cases: null and empty texts have no words; documents shorter than a window lose nothing; a null id
 counts as larger than any other; rows with the same id do not cover each other; in a text that is
-cut, what is left keeps its bytes, white space included; extra columns pass through untouched.
+cut, what is left keeps its bytes, white space included; very long texts are taken whole; an empty
+table gives no rows; extra columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -100,10 +101,9 @@ def remove_repeats(docs: DataFrame, length: int, finish: Callable[[Chunk, np.nda
     if length < 1:
         raise ValueError("a window has at least one word")
     spark = docs.sparkSession
-    rows = docs.count()
-    chunks = ledger.chunk_count(rows, parallelism(spark))
+    chunks = ledger.chunk_count(*ledger.measure(docs, text_col), parallelism(spark))
     buckets = max(parallelism(spark), chunks // 2)
-    dealt = docs.select(ledger.chunk_of(F.col(id_col), chunks).alias("chunk"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    dealt = docs.select(ledger.chunk_of(chunks, id_col, text_col).alias("chunk"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     lengths = levels(length)
 
     def start(key: tuple, left: pa.Table) -> pa.Table:
@@ -181,7 +181,7 @@ def digest(docs: DataFrame, length: int) -> DataFrame:
             shas.append(hashlib.sha256(b" ".join(itertools.compress(words, (~gone[a:b]).tolist()) if n else words)).hexdigest())
         return pa.table({"doc_id": part.rows.field("doc_id"), "n_words": pa.array(np.diff(first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())})
 
-    return remove_repeats(docs.select("doc_id", "text"), length, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return remove_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
