@@ -1,17 +1,19 @@
 """SentencePiece encoding and decoding with source offsets.
 
 The model file is read here: pieces, and the normaliser's compiled character map, a double-array
-trie over UTF-8 bytes whose values point into a block of replacements. Normalisation takes the
-longest prefix in the trie (else one character as it is) and records, for every byte that it
-writes, the source byte that it came from; a piece's place in the normalised text then gives its
-span of source bytes. Ids come from the library itself.
+trie over UTF-8 bytes whose values point into a block of replacements. Every text is normalised by
+the longest prefix in the trie (else one character as it is), which records, for every byte that it
+writes, the source byte that it came from; the pieces of a text cover its normalised bytes from the
+first to the last, which is checked, so each piece's place there gives its span of source bytes. Ids
+come from the library itself.
 
-Where no piece can hold a space mark after another character and the character map is empty, a
-text is cut before single spaces and each distinct chunk is encoded once; spans then follow from
-the lengths of the pieces, as every normalised character is its source.
+Where the map is empty, as in the 32k model, each character is its own longest prefix, and a whole
+slice of texts is normalised at once; where also no piece can hold a space mark after another
+character, a text's ids are found for its chunks between single spaces, each distinct chunk once.
 
 Cases: null and empty texts have no ids and decode to an empty text; texts are taken whole,
-whatever their length; equal texts give equal rows; other columns are ignored.
+whatever their length; equal texts give equal rows, and repeated rows are rows each; an empty table
+gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillforge.llm.chunks import ChunkCoder
 from quillforge.llm.common import byte_view, slices, strings, table
@@ -121,8 +124,12 @@ class Model:
         self.user = sorted((n for n, k in zip(self.names, self.kinds, strict=True) if k == USER_DEFINED), key=len, reverse=True)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.plain = self.dummy_prefix and self.escape and not (blob or self.squeeze or self.suffix or self.user) and not any(MARK in n.lstrip(MARK) for n in self.names) and not any(n.strip(MARK) and MARK in n[len(MARK) :] and not n.startswith(MARK) for n in self.names)
-        #: Source bytes of each piece where normalisation keeps every character: a mark is one space.
+        #: Normalised bytes of each piece, and source bytes where every character is kept and a mark is one space.
+        self.sizes = np.array([1 if k == BYTE else len(n) for n, k in zip(self.names, self.kinds, strict=True)], dtype=np.int64)
         self.lengths = np.array([1 if k == BYTE else len(n.replace(MARK, b" ")) for n, k in zip(self.names, self.kinds, strict=True)], dtype=np.int64)
+        self.kinds_of = np.array(self.kinds)
+        #: Whether a character is always its own longest prefix, so that a slice can be normalised at once.
+        self.whole = self.dummy_prefix and self.escape and not (blob or self.squeeze or self.suffix or self.user)
         self.coder = ChunkCoder(self._chunks, self.lengths, drop=True)
         self.decimal = pa.array([str(k) for k in range(len(self.names))], pa.string())
 
@@ -177,6 +184,37 @@ class Model:
             source += [at] * len(space)
         return bytes(out), [*source, at]
 
+    def normalise_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(normalised bytes, offsets of n + 1 values, source byte of each): the sources of a text have one
+        value more than its bytes, its end, so those of text d start at offset d + d."""
+        data, offsets = byte_view(texts)
+        n = len(texts)
+        if not self.whole:
+            out, source = [], []
+            for text in texts.to_pylist():
+                one, two = self.normalise(text.encode())
+                out.append(one)
+                source.append(two)
+            first = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
+            return np.frombuffer(b"".join(out), np.uint8), first, np.array([x for s in source for x in s], np.int64)
+        space, full = data == 32, np.diff(offsets) > 0
+        upto = np.concatenate([[0], np.cumsum(np.where(space, len(MARK), 1))])
+        first = np.concatenate([[0], np.cumsum(np.diff(upto[offsets]) + len(MARK) * full)])
+        doc = np.repeat(np.arange(n), np.diff(offsets))
+        place = upto[:-1] + (first[:-1] + len(MARK) * full - upto[offsets[:-1]])[doc]
+        lead = np.maximum.accumulate(np.where((data & 0xC0) == 0x80, 0, np.arange(len(data)))) - offsets[:-1][doc] if len(data) else np.zeros(0, np.int64)
+        out, source = np.empty(first[-1], np.uint8), np.empty(first[-1] + n, np.int64)
+        out[place] = data
+        source[place + doc] = lead
+        begin = np.flatnonzero(full)
+        for k, byte in enumerate(MARK):
+            out[place[space] + k] = byte
+            source[place[space] + doc[space] + k] = lead[space]
+            out[first[begin] + k] = byte
+            source[first[begin] + begin + k] = 0
+        source[first[1:] + np.arange(n)] = np.diff(offsets)
+        return out, first, source
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of n + 1 values)."""
         if self.plain:
@@ -185,29 +223,22 @@ class Model:
         return np.array([i for ids in each for i in ids], dtype=np.int32), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
 
     def spans(self, texts: pa.Array, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Source bytes (start, end) of each id, counted in its own text."""
-        data, offsets = byte_view(texts)
-        if self.plain and MARK not in data.tobytes():  # else a mark's piece may be a space or the three bytes of a mark
-            end = np.concatenate([[0], np.cumsum(self.lengths[ids])])
-            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            base = end[first[:-1]][doc] + 1  # the mark before a text is no byte of it
-            # a byte piece inside a character is empty, and the last one holds the character
-            places = np.append(np.where((data & 0xC0) == 0x80, 0, np.arange(len(data))), len(data))
-            lead = np.maximum.accumulate(places)
-            start, stop = (lead[np.maximum(x - base, 0) + offsets[doc]] - offsets[doc] for x in (end[:-1], end[1:]))
-            return start, stop
-        starts, ends = [], []
-        for text, a, b in zip(texts.to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
-            normal, source = self.normalise(text.encode())
-            pieces = [p.piece.encode() for p in self.library.encode(text, return_type="proto").pieces] if text else []
-            at = 0
-            for k, name in zip(ids[a:b].tolist(), pieces, strict=True):
-                n = 1 if self.kinds[k] == BYTE else len(name)
-                starts.append(source[at])
-                ends.append(source[at + n])
-                at += n
-            assert at == len(normal)
-        return np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64)
+        """Source bytes (start, end) of each id, counted in its own text, by way of the normalised text."""
+        _, begins, source = self.normalise_all(texts)
+        sizes = self.sizes[ids]
+        if (self.kinds_of[ids] == UNKNOWN).any():  # an unknown piece stands for what it covers
+            sizes = self._surfaces(texts)
+        end = np.concatenate([[0], np.cumsum(sizes)])
+        if not np.array_equal(end[first], begins):
+            raise ValueError("the pieces of a text do not cover its normalised form")
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        return source[end[:-1] + doc], source[end[1:] + doc]
+
+    def _surfaces(self, texts: pa.Array) -> np.ndarray:
+        found = []
+        for text in texts.to_pylist():
+            found += [1 if self.kinds[p.id] == BYTE else len(p.piece.encode()) for p in self.library.encode(text, return_type="proto").pieces] if text else []
+        return np.array(found, np.int64)
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
         flat = ids.tolist()
@@ -251,7 +282,8 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Counts and digests of ids, spans and decoded texts, without passing the ids through rows."""
+    """Counts and digests of ids, spans (start and end of each piece as unsigned 32-bit numbers, little
+    end first) and decoded texts, without passing the ids through rows."""
     path = path or public_tokenizers.path(MODEL)
     sha = lambda values: pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
 
@@ -260,17 +292,19 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in slices(batches):
             texts = strings(batch.column(1))
             ids, first = model.encode(texts)
-            _, ends = model.spans(texts, ids, first)
+            starts, ends = model.spans(texts, ids, first)
+            both = np.stack([starts, ends], axis=1).astype("<u4")
+            at = first.tolist()
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(first, pa.int32()), model.decimal.take(pa.array(ids))), ",")
             last = np.zeros(len(texts), np.int64)
             full = np.diff(first) > 0
             last[full] = ends[first[1:][full] - 1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(first)), sha(joined.cast(pa.binary()).to_pylist()), sha(t.encode() for t in model.decode(ids, first)), pa.array(last)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spanned_bytes"],
+                [batch.column(0), pa.array(np.diff(first)), sha(joined.cast(pa.binary()).to_pylist()), sha(t.encode() for t in model.decode(ids, first)), pa.array(last), sha(both[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True))],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spanned_bytes", "spans_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spanned_bytes long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spanned_bytes long, spans_sha256 string")
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -6,7 +8,6 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
-import zlib
 from quillforge.llm import packing, pieces
 
 ALPHABET = list("   ▁ab\n\t\r\x0b\x1c\x85\xa0 　'séAé日本😀.,0 1​﻿")
@@ -119,6 +120,29 @@ def test_compiled_character_map_takes_the_longest_prefix(squeeze):
         assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == [(p.begin, p.end) for p in proto.pieces], text
 
 
+def test_normalising_a_slice_is_normalising_each_text():
+    model = pieces.load(public_tokenizers.path(pieces.MODEL))
+    texts = ["", "a", " ", "  two  spaces ", "héllo 日本 x", "\u2581mark \u2581", "\tTab\n", "🙂 🙂", ""]
+    out, first, source = model.normalise_all(pa.array(texts))
+    for d, text in enumerate(texts):
+        normal, came = model.normalise(text.encode())
+        assert out[first[d] : first[d + 1]].tobytes() == normal and source[first[d] + d : first[d + 1] + d + 1].tolist() == came
+
+
+def test_op3_matches_the_library(spark, sf_dir):
+    library = pieces.load(public_tokenizers.path(pieces.MODEL)).library
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    rows = {r.doc_id: r for r in pieces.op3_pieces(spark, sf_dir).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert len(rows) == len(docs)
+    for d, text in docs:
+        found = library.encode(text or "", return_type="proto").pieces if text else []
+        ids, spans = [p.id for p in found], np.array([(p.begin, p.end) for p in found], "<u4")
+        raw = (text or "").encode()
+        assert (rows[d].n_tokens, rows[d].ids_sha256, rows[d].decoded_sha256) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(library.decode(ids).encode()))
+        assert rows[d].spans_sha256 == sha(spans.tobytes()) and rows[d].spanned_bytes == len(raw)
+
+
 def test_encode_and_decode_frames(spark):
     docs = spark.createDataFrame([(1, None, 3), (2, "", 3), (3, "héllo  wörld", 3), (3, "héllo  wörld", 3)], "doc_id long, text string, ids int")
     encoded = pieces.encode(docs)
