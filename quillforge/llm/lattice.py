@@ -1,11 +1,17 @@
 """Language-model scoring: the marginal likelihood of a text over all its segmentations into pieces.
 
-The vocabulary and its scores are a public piece model's; no piece goes past a word's first mark,
-so a text's marginal is the product of its words' (each with the mark before it) and of the end.
-A word's lattice holds every piece that matches at every byte; a forward recursion in log space
-sums over all paths. Piece weights start from the vocabulary's scores (exponentials for a unigram
-model; for a merge model, whose scores are ranks, 1 / rank) and are re-estimated once from the
-expected piece counts of all training words, the start weights standing in with PRIOR counts.
+The vocabulary and its scores are a public piece model's. A piece may hold marks at its start only
+(other models are refused), so a text's marginal is the product of its words' (each with the mark
+before it) and of the end; within a word every piece of the vocabulary counts, so all segmentations
+are summed. A word's lattice holds every piece that matches at every byte; a forward recursion in log
+space sums over all paths. A byte piece stands for a byte that no piece holds alone, as the fallback
+that it is, and gets a score under all others.
+
+Two scores are given. `vocabulary_score` takes the vocabulary's scores untouched, as natural logs of
+weights. They are no probabilities: a merge model's, as the 32k model's, are negated ranks. `score` is
+the model's probability: piece weights start from the scores (exponentials, over their sum; 1 / rank
+where they are ranks) and are re-estimated once from the expected piece counts of all training words,
+the start weights standing in with PRIOR counts.
 
 Counts of words come from the same pass: a chunk of documents posts its distinct words with their
 training counts and the expected piece counts of these (see ledger), and meets the totals when it
@@ -13,7 +19,8 @@ is scored. What reaches the driver is one number for each piece and two totals.
 
 Words are those of the text with A-Z lower-cased. Cases: null and empty texts are one end token; a
 null id trains; without training rows N and V are 0 and pieces keep their start weights; repeated
-rows count each; a word of any length is scored whole; other columns are ignored.
+rows count each; a word of any length is scored whole, and so is a text; an empty table gives no
+rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -48,10 +55,12 @@ class Lattice:
     def __init__(self, model: Model):
         self.size = len(model.names)
         usable = [k in (1, USER_DEFINED) for k in model.kinds]
+        if any(u and MARK in n.lstrip(MARK) for u, n in zip(usable, model.names, strict=True)):
+            raise ValueError("a piece goes on past the end of a word")
         children: list[dict[int, int]] = [{}]
         piece = [-1]
         for k, name in enumerate(model.names):
-            if not usable[k] or not name or MARK in name[1:]:
+            if not usable[k] or not name:
                 continue
             node = 0
             for b in name:
@@ -83,6 +92,12 @@ class Lattice:
             weight[self.used] = 1.0 / (rank + 1)
         else:
             weight[self.used] = np.exp(scores[self.used])
+        #: The vocabulary's own scores; those of byte pieces say nothing and go under all others.
+        self.own = np.full(self.size + 1, -np.inf)
+        plain = self.used[np.array(model.kinds)[self.used] != BYTE]
+        self.own[self.used] = scores[plain].min() - 1 if len(plain) else -1.0
+        self.own[plain] = scores[plain]
+        self.own[-1] = 0.0
         self.start = weight / weight.sum()
         self.start *= 0.99
         self.start[-1] = 0.01
@@ -192,7 +207,7 @@ class _Counted:
 
 
 def score_texts(docs: DataFrame, train: Column, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, train, n_tokens, n_known, train_tokens, base_score, score) of every row; logs to base 10."""
+    """(id, train, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score) of every row; logs to base 10."""
     path = path or public_tokenizers.path(MODEL)
     spark = docs.sparkSession
     chunks = ledger.chunk_count(*ledger.measure(docs, text_col), parallelism(spark), CHUNK_BYTES)
@@ -231,7 +246,7 @@ def score_texts(docs: DataFrame, train: Column, path: str | None = None, id_col:
     expected = np.zeros(load(path).size + 1)
     for row in pieces:
         expected[row.piece] = row.n / MICRO
-    names = ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    names = ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary_score"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         part, lattice = _Counted(left), load(path)
@@ -245,12 +260,13 @@ def score_texts(docs: DataFrame, train: Column, path: str | None = None, id_col:
         c, (end,) = counts(part.keys), counts(np.array([END])).tolist()
         base = lambda n: np.log10((n + 0.5) / (tokens + 0.5 * (distinct + 1)))
         marginal, _ = lattice.words(part.words.data, part.start, part.end, log_p)
+        plain, _ = lattice.words(part.words.data, part.start, part.end, lattice.own)
         docs_here = left.num_rows
         each = lambda of: np.bincount(part.doc, of[part.which], docs_here)
         n = np.diff(part.words.first)
-        return pa.table([left.column("id"), left.column("train"), pa.array(n + 1), pa.array(each(c > 0).astype(np.int64) + (end > 0)), pa.array(np.full(docs_here, tokens)), pa.array(each(base(c)) + base(end)), pa.array((each(marginal) + log_p[-1]) / math.log(10))], names=names)
+        return pa.table([left.column("id"), left.column("train"), pa.array(n + 1), pa.array(each(c > 0).astype(np.int64) + (end > 0)), pa.array(np.full(docs_here, tokens)), pa.array(each(base(c)) + base(end)), pa.array((each(marginal) + log_p[-1]) / math.log(10)), pa.array(each(plain) / math.log(10))], names=names)
 
-    scored = dealt.groupBy("chunk").cogroup(found.filter("chunk >= 0").groupBy("chunk")).applyInArrow(score, f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = dealt.groupBy("chunk").cogroup(found.filter("chunk >= 0").groupBy("chunk")).applyInArrow(score, f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, vocabulary_score double")
     return scored.withColumnRenamed("id", id_col)
 
 
@@ -258,4 +274,4 @@ def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by word counts and by the piece lattice, both learned from four fifths."""
     out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
     scored = score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ~out)
-    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary_score")

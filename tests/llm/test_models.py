@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import struct
+import zlib
 
 import compare
 import numpy as np
@@ -130,6 +131,55 @@ def test_scores_match_brute_force(spark, sf_dir):
         assert r.score < 0
 
 
+def cuts(word, names):
+    """All ways to cut the bytes of a word into pieces, as lists of ids; names maps bytes to an id."""
+    if not word:
+        yield []
+    for n in range(1, len(word) + 1):
+        if (piece := names.get(word[:n])) is not None:
+            for rest in cuts(word[n:], names):
+                yield [piece, *rest]
+
+
+def test_trained_scores_match_brute_force(spark, tmp_path):
+    draw = random.Random(12)
+    some = ["the", "then", "\u2581\u2581a", "é", "a", "on", "日", "Ünd", "\u2581", "x1"]
+    docs = [(d, " ".join(draw.choices(some, k=draw.randrange(1, 12)))) for d in range(40)] + [(50, None), (51, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    lat, model = lattice.load(public_tokenizers.path(pieces.MODEL)), pieces.load(public_tokenizers.path(pieces.MODEL))
+    names = {model.names[k]: k for k in range(len(model.names)) if model.kinds[k] == 1}
+    for k, kind in enumerate(model.kinds):
+        if kind == pieces.BYTE:
+            names.setdefault(bytes([int(model.names[k][3:5], 16)]), k)
+    lower = lambda t: (t or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
+    ways = {w: list(cuts("\u2581".encode() + w, names)) for _, t in docs for w in lower(t)}
+    total = lambda w, log_p: math.log(math.fsum(math.exp(sum(log_p[p] for p in way)) for way in ways[w]))
+    train = [d for d, _ in docs if zlib.crc32(str(d).encode()) % 5 != 1]
+    start, expected = lat.log_weights(), np.zeros(lat.size + 1)
+    for d, t in docs:
+        if d in train:
+            expected[-1] += 1
+            for w in lower(t):
+                all_of = total(w, start)
+                for way in ways[w]:
+                    for p in way:
+                        expected[p] += math.exp(sum(start[q] for q in way) - all_of)
+    with np.errstate(divide="ignore"):
+        log_p = np.log((expected + lattice.PRIOR * lat.start) / (expected.sum() + lattice.PRIOR))
+    least = min(model.scores[k] for k in range(len(model.names)) if model.kinds[k] == 1) - 1
+    own = [least if model.kinds[k] == pieces.BYTE else model.scores[k] for k in range(len(model.names))]
+
+    def raw(w):
+        sums = [sum(own[p] for p in way) for way in ways[w]]
+        return max(sums) + math.log(math.fsum(math.exp(x - max(sums)) for x in sums))
+
+    for r in QUERIES["op9_lattice"](spark, str(tmp_path)).collect():
+        text = dict(docs)[r.doc_id]
+        want = sum(total(w, log_p) for w in lower(text)) + log_p[-1]
+        assert math.isclose(r.score, want / math.log(10), rel_tol=1e-6) and r.held_out == (r.doc_id not in train)
+        assert math.isclose(r.vocabulary_score, sum(map(raw, lower(text))) / math.log(10), rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_score_edge_cases(spark):
     docs = [(1, None), (2, ""), (3, "Word word"), (3, "Word word"), (None, "x"), (5, "z" * 3000)]
     frame = spark.createDataFrame([(d, t, "k") for d, t in docs], "doc_id long, text string, score string")
