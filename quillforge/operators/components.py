@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillforge.sources.scratch import materialise
+from quillforge.sources.scratch import drop, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
     Null ends and links of a node to itself tell nothing; repeated links count once."""
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     for _ in range(rounds):
-        edges = materialise(_small_star(_large_star(edges)).distinct(), "edges")
+        before, edges = edges, materialise(_small_star(_large_star(edges)).distinct(), "edges")
+        drop(before)
         if _settled(edges):
             break
     else:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillforge.sources.scratch import materialise
+from quillforge.sources.scratch import drop, materialise
 
 
 def clean_edges(edges: DataFrame) -> DataFrame:
@@ -55,6 +55,7 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
         now = materialise(labels.unionByName(ahead).groupBy("node").agg(F.min("label").alias("label")), "labels")
         if now.join(labels, ["node", "label"], "left_anti").isEmpty():
             return now
+        drop(labels)
         labels = now
 
 
@@ -121,6 +122,7 @@ def layers(edges: DataFrame, components: DataFrame) -> DataFrame:
         now = materialise(level.unionByName(up).groupBy("node").agg(F.max("layer").alias("layer")), "layers")
         if now.join(level, ["node", "layer"], "left_anti").isEmpty():
             break
+        drop(level)
         level = now
     return components.join(now.withColumnRenamed("node", "scc"), "scc").select("node", "scc", "layer")
 
