@@ -17,8 +17,9 @@ leaders, and each group of a leader with the other groups, one match for each me
 whatever matches is connected, and what matches connect is a family. (2) Matches are confirmed,
 which makes the components so far. (3) A link that is still missing lies inside a family, between
 components: the full sets are intersected in the task that holds them, and only links that join
-components leave it. Lists and families over LIST members are dealt into blocks; members outside the
-largest component visit every block, so that every pair across components still meets.
+components leave it. Lists and families over LIST members, and families over SET_ROWS shingles, are dealt
+into blocks; members outside the largest component visit every block, so that every pair across
+components still meets. (A family of many texts of which few are linked costs the square of its blocks.)
 
 Cases: null text, empty text or text without words has an empty set, linked with nothing; fewer
 than k words make one shingle of them all; a null id links with nothing and is kept; rows that
@@ -44,6 +45,10 @@ PREFIX = COORDINATES - MATCH + 1
 #: Members of a list or family that are compared at once.
 LIST = 2048
 POSTINGS_A_BUCKET = 20_000
+#: Shingles of a block of a family.
+SET_ROWS = 4 << 20
+#: Parts into which the rows of each group are dealt where they meet a small table of groups.
+SALTS = 16
 
 _draw = np.random.default_rng(20240229)
 _TIMES = _draw.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -181,13 +186,21 @@ def _across(rows: List, met: np.ndarray | None = None) -> Found:
             yield np.minimum(rows.ids[other], rows.ids[y]), np.maximum(rows.ids[other], rows.ids[y])
 
 
-def _spread(rows: DataFrame, group: str, within: str, blocks: Column) -> DataFrame:
-    """Rows of groups that hold more than one value of `within`, dealt into blocks of a group.
+def _salted(rows: DataFrame, small: DataFrame, group: str) -> DataFrame:
+    """rows joined with one row for each of some groups; a large group's rows do not meet in one task."""
+    copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SALTS)).cast("int")).join(copies, [group, "_part"]).drop("_part")
 
-    Rows of a group's largest `within` go to their own block, the others to every block."""
-    held = rows.groupBy(group, within).agg(F.count("*").alias("c"))
-    mixed = held.groupBy(group).agg(F.count("*").alias("_some"), F.max(F.struct("c", F.col(within).alias("main"))).alias("x")).filter("_some > 1").select(group, "x.main")
-    dealt = rows.join(mixed, group).withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("id", group), F.col("_blocks")).cast("int"))
+
+def _spread(rows: DataFrame, group: str, within: str) -> DataFrame:
+    """Rows (id, n, ...) of groups that hold more than one value of `within`, dealt into blocks of a group.
+
+    Rows of a group's largest `within` go to their own block, the others to every block. Groups are
+    counted by (group, within) before anything of them meets."""
+    held = rows.groupBy(group, within).agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    blocks = F.greatest(F.ceil(F.sum("c") / LIST), F.ceil(F.sum("s") / SET_ROWS)).cast("int")
+    mixed = held.groupBy(group).agg(F.count("*").alias("_some"), F.max(F.struct("c", F.col(within).alias("main"))).alias("x"), blocks.alias("_blocks")).filter("_some > 1").select(group, "x.main", "_blocks")
+    dealt = _salted(rows, mixed, group).withColumn("_own", F.pmod(F.xxhash64("id", group), F.col("_blocks")).cast("int"))
     visits = F.when((F.col(within) == F.col("main")) | (F.col("_blocks") == 1), F.array("_own")).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))
     return dealt.withColumn("salt", F.explode(visits)).withColumn("home", F.col("salt") == F.col("_own")).drop("_blocks")
 
@@ -214,13 +227,14 @@ def _merge_lists(posted: DataFrame, total: int, percent: int, pairs_of: Callable
 
 
 def full_sets(texts: DataFrame, k: int, lower: bool) -> DataFrame:
-    """(id, shingles): sorted 64-bit hashes as bytes."""
+    """(id, n, shingles): sorted 64-bit hashes as bytes, and how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(strings(batch.column(1)), k, lower)], pa.binary())], names=["id", "shingles"])
+            sets = shingle_sets(strings(batch.column(1)), k, lower)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "shingles"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, shingles binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, shingles binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -273,9 +287,9 @@ def _links_inside(ids: np.ndarray, comp: np.ndarray, home: np.ndarray, sets: lis
 
 def link_families(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between different components of a family; members has (id, comp, family)."""
-    size = members.groupBy("family").agg(F.count("*").alias("_size"))
-    dealt = _spread(members.join(size, "family"), "family", "comp", F.ceil(F.col("_size") / LIST).cast("int"))
-    buckets = max(parallelism(members.sparkSession), -(-dealt.count() // LIST))
+    dealt = materialise(_spread(members.join(sets.select("id", "n"), "id"), "family", "comp").select("id", "n", "comp", "family", "salt", "home"), "dealt")
+    held = dealt.agg(F.count("*").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()
+    buckets = max(parallelism(members.sparkSession), -(-held.c // LIST), -(-held.s // SET_ROWS))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         family, salt, ids, comp = (table.column(c).to_numpy() for c in ("family", "salt", "id", "comp"))
@@ -290,7 +304,7 @@ def link_families(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
                 found += _links_inside(ids[part], comp[part], home[part], [sets[k] for k in part.tolist()], percent)
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=_PAIRS)
 
-    whole = dealt.select("id", "comp", "family", "salt", "home").join(sets, "id")
+    whole = dealt.select("id", "comp", "family", "salt", "home").join(sets.select("id", "shingles"), "id")
     return whole.withColumn("bucket", F.pmod(F.xxhash64("family", "salt"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
@@ -309,7 +323,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = Tru
     long = posted.filter(F.col("df") > LIST)
     if not long.isEmpty():  # members of different blocks of a list have not met
         named = long.join(families, "id", "left").withColumn("comp", F.coalesce("family", "id"))
-        matched = matched.unionByName(materialise(_merge_lists(_spread(named, "token", "comp", blocks), total, percent, _across), "pairs")).distinct()
+        matched = matched.unionByName(materialise(_merge_lists(_spread(named, "token", "comp"), total, percent, _across), "pairs")).distinct()
         families = connected_components(matched).withColumnRenamed("component", "family")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(families.select("id"), "id", "left_semi").dropDuplicates(["id"])
     sets = materialise(full_sets(texts, k, lower), "sets")

@@ -1,6 +1,8 @@
+import hashlib
 import importlib
 import itertools
 import math
+import os
 import random
 import struct
 import zlib
@@ -9,7 +11,8 @@ import compare
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import near_duplicates, word_scores
+import tokenizers
+from brute import base_secrets, near_duplicates, repeats, word_scores
 from pyspark.sql import functions as F
 from quillforge.llm import lattice, pieces, search
 from quillforge.llm.queries import ORACLES, QUERIES
@@ -196,6 +199,82 @@ def test_oracle_of_search(spark, sf_dir):
     assert got == compare.rows_of_sql(compare.connect(sf_dir), ORACLES["op5_search"])
 
 
+def rough_documents():
+    """Nulls in every column, empty and very long texts, ties, repeated rows and ids, copies, secrets, shared passages."""
+    draw = random.Random(21)
+    words = {"en": "the cat and the dog are in the house with that thing".split(), "de": "der hund und die katze sind nicht in dem haus mit einer".split()}
+    text = lambda lang, n: " ".join(draw.choice(words[lang]) + str(draw.randrange(40)) * (draw.random() < 0.5) for _ in range(n))
+    passage = text("en", 70)
+    rows = [(d, text(lang, draw.randrange(5, 200)), lang, "s", 1) for d, lang in enumerate(["en", "de"] * 20, 10)]
+    rows += [(60, f"{text('en', 30)} {passage} {text('en', 20)}", "en", None, 1), (61, f"{text('en', 25)}\n{passage}\n{text('en', 30)}", None, "s", None)]
+    rows += [(62, rows[0][1], "en", "t", 5), (63, rows[0][1].replace("the", "a", 1), "en", "t", 5), (64, rows[0][1], "de", "t", 5)]
+    rows += [(70, f'{text("en", 20)} password = "q7Zk29fLx0PvB3mWn8Rt" {text("en", 9)}', "en", "s", 2), (71, text("de", 40) + " 0123456789abcdef0123 " + text("de", 9), "de", "s", 2)]
+    rows += [(80, None, "en", "s", None), (81, "", "en", "s", 0), (82, "123 456 !", None, "s", 9), (83, "жзий цчшъ бвгд", None, "s", 14), (84, "the", None, None, None)]
+    rows += [(90, text("en", 40000), "en", "s", 1), (None, text("de", 50), None, None, None), (91, rows[3][1] + " more", "de", "s", 1), (91, text("de", 60), "de", "s", 1)]
+    return [(*r, 7, "x") for r in rows]
+
+
+def test_pipeline_matches_brute_force(spark):
+    """Stage by stage on rough documents; extra columns are named as the operators name theirs."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, chunk int, id string"
+    docs = pipeline.materialise(spark.createDataFrame(rough_documents(), schema).repartition(3), "rough")
+    stages, at = dict(pipeline.STAGES), {}
+    for name in list(stages)[:-1]:
+        before = docs.collect()
+        docs = pipeline.materialise(stages[name](spark, docs, ""), name)
+        assert docs.schema == spark.createDataFrame([], schema).schema
+        at[name] = (before, docs.collect())
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    before, after = at["language_id"]
+    assert {r.doc_id for r in before} - {r.doc_id for r in after} == {80, 81, 82, 83} and len(after) == len(before) - 4
+    assert {r.doc_id: r.lang for r in after if r.doc_id in (61, 84, None)} == {61: "en", 84: "en", None: "de"}
+    assert [r.text for r in sorted(after, key=key)] == [r.text for r in sorted(before, key=key) if r.doc_id not in (80, 81, 82, 83)]
+    before, after = at["near_dedup"]
+    once = [(r.doc_id, r.text) for r in before if r.doc_id not in (None, 91)]
+    want = near_duplicates(once, 5)
+    assert {r.doc_id for r in after} - {None, 91} == {d for d, _ in once if want[d][1] == d} and {62, 64}.isdisjoint(r.doc_id for r in after)
+    assert any(r.doc_id is None for r in after)
+    before, after = at["substring_dedup"]
+    cut = repeats([(math.inf if r.doc_id is None else r.doc_id, r.text) for r in before if r.doc_id != 91], 50)
+    for r in after:
+        if r.doc_id != 91:
+            kept = " ".join(r.text.split()) if r.text.isascii() else r.text
+            assert hashlib.sha256(kept.encode()).hexdigest() == cut[math.inf if r.doc_id is None else r.doc_id][2]
+    assert cut[61][1] == 70 and next(r for r in after if r.doc_id == 61).n_chars == len(next(r for r in after if r.doc_id == 61).text)
+    before, after = at["secret_scan"]
+    texts = {key(r)[:2]: r.text for r in before}
+    for r in after:
+        clean = texts[key(r)[:2]] if r.doc_id != 91 else None
+        assert base_secrets(r.text) == "" and (r.doc_id in (70, 71, 91) or r.text == clean)
+    assert [r.text.count("[REDACTED]") for r in sorted(after, key=key) if r.doc_id in (70, 71)] == [1, 1]
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = stages["packing"](spark, docs.filter("doc_id <> 91"), "")
+    want = {r.doc_id: [*library.encode(r.text, add_special_tokens=False).ids, 0] for r in docs.collect() if r.doc_id not in (None, 91)}
+    got = {}
+    for r in packed.collect():
+        ids = want[r.doc_id]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        got.setdefault(r.doc_id, []).append((r.start, r.length))
+    assert {d: sorted(p) for d, p in got.items()}.keys() == want.keys() and all(sum(n for _, n in got[d]) == len(want[d]) for d in want)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_op1_loses_no_link_of_the_whole_table(spark, table):
+    if not os.path.isdir(f"/root/testdata/{table}"):
+        pytest.skip("no such table here")
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/{table}/documents.parquet").collect()]
+    want = near_duplicates(docs, 2)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op1_neardup"](spark, f"/root/testdata/{table}").collect()}
+    assert found == want
+
+
 def test_pipeline_keeps_columns_and_decisions(spark, sf_dir):
     pipeline = importlib.import_module("corpus_pipeline")
     docs = pipeline.table(spark, sf_dir, "documents")
