@@ -1,9 +1,17 @@
 """A corpus pipeline of five stages over `documents`; each is written and read again by the next.
 
-Language ID drops texts without a language; MinHash near-dedup keeps one document of each group
-(five-word shingles, 0.8); substring dedup cuts passages of 50 words and more that an earlier
-document also has; the secret scan replaces secrets; packing places what is left into sequences.
-No stage is expressible in SQL as a whole, so ORACLE_SQL is None and tests use brute force.
+Language ID learns from the labels of its own rows, drops texts in none of their languages (without a
+letter, or next to nothing like any profile) and sets the language of rows without one; MinHash
+near-dedup keeps one document of each group (five-word shingles, 0.8); substring dedup cuts passages
+of 50 words and more that an earlier document also has; the secret scan replaces secrets; packing
+places what is left into sequences. No stage is expressible in SQL as a whole, so ORACLE_SQL is None
+and tests hold every stage against brute force.
+
+Cases: null and empty texts have no language and go; rows with a null id are kept by near-dedup and
+come last where substring dedup orders documents; rows that repeat an id are one document to
+near-dedup and rows of their own elsewhere; of equal documents the smallest id stays; very long texts
+are taken whole; extra columns, whatever their names, pass through to packing; an empty table packs to
+no rows.
 """
 
 from __future__ import annotations
