@@ -32,6 +32,18 @@ def line_count(text: Column) -> Column:
     return (ends + F.when((F.length(text) > 0) & ~text.endswith("\n"), 1).otherwise(0)).cast("long")
 
 
+def line_of(text: Column, byte: Column) -> Column:
+    """The line (from 1) that a byte offset of a text's UTF-8 form is in."""
+    ahead = F.substring(F.encode(text, "UTF-8"), F.lit(1), byte.cast("int"))
+    return (F.length(ahead) - F.length(F.encode(F.replace(F.decode(ahead, "ISO-8859-1"), F.lit("\n"), F.lit("")), "ISO-8859-1")) + 1).cast("long")
+
+
+def shell_quoted(text: Column) -> Column:
+    """A word for a POSIX shell."""
+    safe = text.rlike("^[A-Za-z0-9_./:=,][A-Za-z0-9_./:=,-]*$")
+    return F.when(safe, text).otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\"'\"'")), F.lit("'")))
+
+
 def shingles(tokens_col: Column, k: int) -> Column:
     """Windows of k tokens joined by a space; none if there are fewer or k is 0."""
     if k <= 0:

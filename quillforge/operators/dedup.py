@@ -130,6 +130,15 @@ def verified(pairs: DataFrame, signed: DataFrame, unit: str, least: float) -> Da
     return pairs.join(one, "id1").join(two, "id2").select("id1", "id2", similarity(F.col("s1"), F.col("s2")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
+def touching(pairs: DataFrame, units: DataFrame, unit: str, files: DataFrame, file: str = "path") -> DataFrame:
+    """Pairs of which either side lies in one of the files; all pairs where there is none."""
+    if files.isEmpty():
+        return pairs
+    inside = units.join(files.select(F.col(files.columns[0]).alias(file)).distinct(), file, "left_semi").select(F.col(unit).alias("_u"))
+    hit = pairs.select("id1", "id2", F.explode(F.array("id1", "id2")).alias("_u")).join(inside, "_u", "left_semi").select("id1", "id2").distinct()
+    return pairs.join(hit, ["id1", "id2"], "left_semi").select(*pairs.columns)
+
+
 def drop_nested(pairs: DataFrame, units: DataFrame, unit: str, file: str = "path", start: str = "start_line", end: str = "end_line") -> DataFrame:
     """Without pairs of one file whose line ranges contain one another."""
     one = units.select(F.col(unit).alias("id1"), F.col(file).alias("_f1"), F.col(start).alias("_a1"), F.col(end).alias("_b1"))

@@ -113,6 +113,21 @@ def without_breaks(edges: DataFrame, breaks: DataFrame) -> DataFrame:
     return edges.join(breaks.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst")
 
 
+def what_if(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: cycles before, and cycles and layers once the least edge of each cycle is gone."""
+    found = materialise(strong_components(nodes, edges), "scc")
+    left = without_breaks(edges, break_edges(edges, found))
+    again = materialise(strong_components(nodes, left), "scc")
+    count = lambda scc, name: cycles(scc).agg(F.count("*").alias(name))
+    height = layers(left, again).agg(F.coalesce(F.max("layer") + 1, F.lit(0)).alias("layers"))
+    return count(found, "cycles").join(count(again, "remaining_cycles")).join(height)  # one row each
+
+
+def importers(edges: DataFrame, tests: DataFrame) -> DataFrame:
+    """(node, importer): the test modules with an edge into a module; tests has (node)."""
+    return edges.join(tests.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("node"), F.col("src").alias("importer")).distinct()
+
+
 def layers(edges: DataFrame, components: DataFrame) -> DataFrame:
     """(node, layer): 0 without dependencies outside the own cycle, else one over the highest of them."""
     quotient = materialise(_inside(edges, components).filter("s1 <> s2").select(F.col("s1").alias("src"), F.col("s2").alias("dst")).distinct(), "edges")

@@ -66,6 +66,19 @@ def disambiguate(definitions: DataFrame, identifiers: DataFrame, references: Dat
     return alone.groupBy("name").agg(F.count_distinct("file").alias("_n"), F.min("file").alias("file")).filter("_n = 1").select("name", "file")
 
 
+def chosen_by_import(definitions: DataFrame, usages: DataFrame, file_modules: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, file): the one candidate file of an ambiguous name whose module a test file that uses the
+    name imports; a name with a candidate outside the graph has none. usages has (test_file, ref),
+    file_modules (file, module), edges (src, dst)."""
+    many = definitions.select("file", "name").distinct().join(ambiguous(definitions).select("name"), "name", "left_semi")
+    placed = many.join(file_modules, "file", "left")
+    whole = placed.groupBy("name").agg(F.count_if(F.col("module").isNull()).alias("_out")).filter("_out = 0").select("name")
+    using = usages.select("test_file", F.col("ref").alias("name")).distinct().join(whole, "name", "left_semi")
+    inside = using.join(file_modules.select(F.col("file").alias("test_file"), F.col("module").alias("src")), "test_file").select("name", "src").distinct()
+    met = placed.join(inside, "name").join(edges.select("src", F.col("dst").alias("module")), ["src", "module"], "left_semi").select("name", "file").distinct()
+    return met.groupBy("name").agg(F.count("*").alias("_n"), F.min("file").alias("file")).filter("_n = 1").select("name", "file")
+
+
 def uncovered(definitions: DataFrame, references: DataFrame, bindings: DataFrame | None = None, suffixes: DataFrame | None = None, chosen: DataFrame | None = None) -> DataFrame:
     """Definitions (file, name, owner, ...) that nothing covers. One is covered if
 

@@ -42,13 +42,33 @@ UNCHECKED = {("python", "arguments_per_function")}
 GATE = {"test_coverage_threshold": 90, "min_similarity": 0.9, "duplication_enabled": True, "orphan_module_enabled": True}
 DUPLICATES = {"hashes": 100, "shingle": 3, "bands": 20, "min_similarity": 0.9, "largest_bucket": 100, "min_lines": 5, "min_tokens": 10}
 
-FILES = "path string, language string, source string"
-UNITS = "path string, language string, kind string, name string, owner string, start_line int, end_line int"
-VIOLATIONS = "file string, line int, unit_name string, metric string, value bigint, threshold bigint, message string, suggestion string"
-IMPORTS = "path string, import string"
-CHUNKS = "path string, name string, start_line int, end_line int, text string"
-DEFINITIONS = "path string, name string, kind string, line int, owner string"
-REFERENCES = "test_file string, test_id string, ref string"
+#: What a metric asks for, behind its name, and what to do where it is over its limit.
+ADVICE = {
+    "statements_per_function": ("statements in a function body", "Break it into smaller functions."),
+    "arguments_per_function": ("arguments of a function", "Gather related arguments in one type."),
+    "positional_args": ("arguments that may be given by place", "Make more of them keyword-only."),
+    "keyword_only_args": ("arguments that must be given by name", "Gather related options in one type."),
+    "max_indentation_depth": ("levels of indentation in a function", "Return early, or move a block to a function."),
+    "nested_function_depth": ("functions or closures inside one another", "Move inner functions out."),
+    "returns_per_function": ("return statements in a function", "Let fewer ways lead out."),
+    "return_values_per_function": ("values in one return statement", "Return a named type."),
+    "branches_per_function": ("branches in a function", "Use a table, or split the cases."),
+    "local_variables_per_function": ("local variables in a function", "Move a step with its variables to a function."),
+    "statements_per_try_block": ("statements in one try block", "Keep only what can fail inside."),
+    "boolean_parameters": ("parameters that are true or false", "Use two functions, or an enumeration."),
+    "annotations_per_function": ("decorators or attributes of a function", "Combine or drop some."),
+    "calls_per_function": ("calls in a function", "Hand parts of the work to other functions."),
+    "methods_per_class": ("methods of a class or type", "Split the type by its tasks."),
+    "statements_per_file": ("statements in the functions of a file", "Split the file."),
+    "lines_per_file": ("lines in a file", "Split the file."),
+    "functions_per_file": ("functions in a file", "Move related functions to a file of their own."),
+    "interface_types_per_file": ("interfaces in a file", "Move some to files of their own."),
+    "concrete_types_per_file": ("types in a file", "Move some to files of their own."),
+    "imported_names_per_file": ("names that a file imports", "Split the file by what it needs."),
+    "cycle_size": ("modules in a cycle of dependencies", "Remove the edge that the fewest others need."),
+    "indirect_dependencies": ("modules needed by way of others", "Put an interface between them."),
+    "dependency_depth": ("steps to the farthest module needed", "Move what is shared to a base module."),
+}
 
 
 def metrics(spark: SparkSession) -> DataFrame:

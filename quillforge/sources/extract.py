@@ -41,6 +41,11 @@ def units(files: DataFrame) -> DataFrame:
     return _table(files, UNITS, lambda path, language, source: ({"path": path, "language": language, "parse_error": False} | row for row in _of(language).units(path, source)))
 
 
+def complexity(files: DataFrame) -> DataFrame:
+    """(path, name, complexity) of Python functions."""
+    return _table(files.filter("language = 'python'"), "path string, name string, complexity bigint", lambda path, language, source: ({"path": path, "name": name, "complexity": n} for name, n in python_code.complexities(source)))
+
+
 def imports(files: DataFrame) -> DataFrame:
     """(path, language, import, kind)."""
 

@@ -273,6 +273,11 @@ def cyclomatic(node: ast.AST) -> int:
     return 1 + sum(isinstance(n, decisions) for n in ast.walk(node) if n is not node)
 
 
+def complexities(source: str) -> Iterator[tuple[str, int]]:
+    tree = parse(source)
+    yield from ((n.name, cyclomatic(n)) for n in (ast.walk(tree) if tree else ()) if isinstance(n, _FUNCTION))
+
+
 def imports(source: str) -> list[str]:
     """Imported module texts, those under TYPE_CHECKING and in functions too; relative ones without their dots."""
     tree = parse(source)
