@@ -47,6 +47,8 @@ LIST = 2048
 POSTINGS_A_BUCKET = 20_000
 #: Shingles of a block of a family.
 SET_ROWS = 4 << 20
+#: Bits of the filter of family members that is sent to the tasks: 4 MB, whatever their number.
+FILTER_BITS, BITMAP = 1 << 25, 32768
 #: Parts into which the rows of each group are dealt where they meet a small table of groups.
 SALTS = 16
 
@@ -226,6 +228,17 @@ def _merge_lists(posted: DataFrame, total: int, percent: int, pairs_of: Callable
     return needed.withColumn("bucket", F.pmod(F.xxhash64("token", "salt"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among `ids`, and some others: a filter of FILTER_BITS bits, so that texts which
+    are not wanted are not shuffled. With very many ids most rows pass; an exact join has to follow."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    row, place = F.floor(F.col("_b") / BITMAP).cast("int"), F.col("_b") % BITMAP
+    bitmaps = ids.select(bit.alias("_b")).groupBy(row.alias("_k")).agg(F.bitmap_construct_agg(place).alias("_bits"))  # FILTER_BITS / BITMAP rows at most
+    met = docs.withColumn("_b", bit).withColumn("_k", row).join(F.broadcast(bitmaps), "_k")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(docs.columns)
+
+
 def full_sets(texts: DataFrame, k: int, lower: bool) -> DataFrame:
     """(id, n, shingles): sorted 64-bit hashes as bytes, and how many."""
 
@@ -325,8 +338,8 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = Tru
         named = long.join(families, "id", "left").withColumn("comp", F.coalesce("family", "id"))
         matched = matched.unionByName(materialise(_merge_lists(_spread(named, "token", "comp"), total, percent, _across), "pairs")).distinct()
         families = connected_components(matched).withColumnRenamed("component", "family")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(families.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    sets = materialise(full_sets(texts, k, lower), "sets")
+    texts = _among(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null"), families.select("id"))
+    sets = materialise(full_sets(texts, k, lower).join(families.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
     links = materialise(confirm(matched, sets, percent), "links")
     joined = connected_components(links)
     members = families.join(joined.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))

@@ -72,6 +72,17 @@ def test_across_finds_matches_that_leaders_miss():
     assert pairs() == set()
 
 
+def test_the_filter_of_ids_loses_none(spark, monkeypatch):
+    docs = spark.range(-3000, 3000).selectExpr("id", "'x' as text")
+    ids = docs.filter("id % 7 = 0").select("id")
+    want = {r.id for r in ids.collect()}
+    found = {r.id for r in neardup._among(docs, ids).collect()}
+    assert want <= found and len(found) < 1.1 * len(want)
+    monkeypatch.setattr(neardup, "FILTER_BITS", 64)  # full: all pass
+    assert want <= {r.id for r in neardup._among(docs, ids).collect()}
+    assert neardup._among(docs, ids.filter("false")).collect() == []
+
+
 def test_links_inside_a_block():
     draw = np.random.default_rng(3)
     base = np.arange(100, dtype=np.uint64)
