@@ -146,10 +146,24 @@ def grey(image: np.ndarray) -> np.ndarray:
     return image if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the (fractional) source area under each target pixel, read from an integral image.
+def _integral(image: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows `at` (from 0 to the height) of the integral image: sums of all samples above and to the left."""
+    rows, cols = image.shape
+    if rows <= BAND:
+        whole = np.zeros((rows + 1, cols + 1))
+        np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=whole[1:, 1:])
+        return whole[at]
+    total, above = np.zeros((len(at), cols + 1)), 0.0
+    for start in range(0, rows, BAND):
+        band = np.cumsum(image[start : start + BAND], axis=0, dtype=np.float64)
+        inside = np.flatnonzero((at > start) & (at <= start + len(band)))
+        total[inside, 1:] = above + band[at[inside] - start - 1]
+        above = above + band[-1]
+    return np.cumsum(total, axis=1)
 
-    Only the rows of the integral image that the target's edges fall on are kept."""
+
+def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean of the (fractional) source area under each target pixel, read from an integral image."""
     rows, cols = image.shape
     if not rows or not cols:
         raise MediaError("the image has no samples")
@@ -160,15 +174,8 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
         return low, np.minimum(low + 1, count), at - low
 
     low, high, part = along(rows, height)
-    needed = np.unique(np.concatenate([low, high]))
-    total = np.zeros((len(needed), cols + 1))
-    above = np.zeros(cols)
-    for start in range(0, rows, BAND):
-        band = np.cumsum(image[start : start + BAND], axis=0, dtype=np.float64)
-        inside = np.flatnonzero((needed > start) & (needed <= start + len(band)))
-        total[inside, 1:] = np.cumsum(above + band[needed[inside] - start - 1], axis=1)
-        above = above + band[-1]
-    across = total[np.searchsorted(needed, low)] * (1 - part)[:, None] + total[np.searchsorted(needed, high)] * part[:, None]
+    both = _integral(image, np.concatenate([low, high]))
+    across = both[: len(low)] * (1 - part)[:, None] + both[len(low) :] * part[:, None]
     low, high, part = along(cols, width)
     corner = across[:, low] * (1 - part) + across[:, high] * part
     area = corner[1:, 1:] - corner[:-1, 1:] - corner[1:, :-1] + corner[:-1, :-1]
