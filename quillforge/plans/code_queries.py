@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillforge.functions import text as T
 from quillforge.operators import coarsen, graph, render, resolve, rules
 from quillforge.plans import rename
-from quillforge.plans.analysis import Corpus, Settings
+from quillforge.plans.analysis import Corpus
 from quillforge.plans.registry import query
 from quillforge.sources import config, extract
 
@@ -177,8 +177,12 @@ def tree(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TREE), "path string, language string, source string")
 
 
-def corpus(spark: SparkSession, settings: Settings | None = None) -> Corpus:
-    return Corpus(tree(spark), settings)
+_held: dict[str, Corpus] = {}
+
+
+def corpus(spark: SparkSession) -> Corpus:
+    """One for each application, so that its tables are made once for all queries."""
+    return _held.setdefault(spark.sparkContext.applicationId, Corpus(tree(spark)))
 
 
 def changed(spark: SparkSession, *paths: str) -> DataFrame:
