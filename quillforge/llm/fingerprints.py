@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quillforge.llm.common import Words, mix, parallelism, slices, strings, table, windows
 
 SHINGLE, BINS, BITS = 5, 512, 4
-#: Rows sampled for each arc; the driver holds this many keys of 17 bytes a shuffle partition.
+#: Keys sampled for each arc; the driver holds about this many of 17 bytes a shuffle partition, whatever the table.
 SAMPLED = 16
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -112,10 +112,11 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, bins: int = BINS, bits: int
 
 def cuts(keyed: DataFrame) -> list[tuple[bool, int, int]]:
     """Keys (gone, id, hash) of the table that cut its order into arcs, about one a shuffle partition."""
-    arcs = parallelism(keyed.sparkSession)
-    drawn = keyed.select("gone", "id", "hash").orderBy(F.xxhash64("id", "hash"), "id", "hash").limit(SAMPLED * arcs).collect()
-    keys = sorted({tuple(r) for r in drawn})
-    return keys[:: max(1, len(keys) // arcs)]
+    keys, arcs = keyed.select("gone", "id", "hash"), parallelism(keyed.sparkSession)
+    every = max(1, keyed.count() // (SAMPLED * arcs))
+    drawn = keys.filter(F.pmod(F.xxhash64("id", "hash", F.lit(11)), F.lit(every)) == 0).distinct().collect() or keys.limit(1).collect()
+    found = sorted(tuple(r) for r in drawn)
+    return found[:: max(1, len(found) // arcs)]
 
 
 def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
