@@ -151,7 +151,7 @@ def descend(levels: list[DataFrame], above: DataFrame, carried: dict[str, str],
 
 def proofs(leaves: DataFrame, carried: dict[str, str], bits: int = BLOCK) -> tuple[DataFrame, str | None]:
     """(carried columns, path, subroot) of leaves (tree, id, digest, ...), and the root (None without leaves)."""
-    levels = climb(materialise(ranked(leaves, "id", "digest"), "leaves"), bits)
+    levels = climb(ranked(leaves, "id", "digest"), bits)
     tops = materialise(ranked(levels[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), "name"), "tops")
     upper = climb(tops, bits)
     root = upper[-1].first()
