@@ -6,7 +6,7 @@ maximal run of bytes other than space and 0x09-0x0D.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillforge.sources.scratch import materialise
 
-__all__ = ["Words", "byte_view", "materialise", "mix", "parallelism", "slices", "strings", "table", "windows"]
+__all__ = ["Words", "byte_view", "mapped", "materialise", "mix", "parallelism", "slices", "strings", "table", "windows"]
 
 #: Text handled at once by the vectorised helpers; a longer document is still taken whole.
 SLICE_BYTES = 4 << 20
@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mapped(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """docs with its rows rewritten; columns may have any names, and `run` finds them by their places."""
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -54,12 +60,12 @@ def byte_view(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about `most` bytes of text (or one longer document)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = byte_view(strings(batch.column(batch.schema.get_field_index(text))))
+        _, offsets = byte_view(strings(batch.column(text)))
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1

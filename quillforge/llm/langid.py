@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillforge.llm.common import slices, strings, table
+from quillforge.llm.common import mapped, slices, strings, table
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -202,15 +202,16 @@ def keep_known(docs: DataFrame, foreign: float = FOREIGN) -> DataFrame:
     if not classifier.langs:
         return docs
 
+    at, k = docs.columns.index("text"), docs.columns.index("lang")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=READ_BYTES):
-            names, scores = classifier.predict(strings(batch.column(batch.schema.get_field_index("text"))).to_pylist())
-            k = batch.schema.get_field_index("lang")
+        for batch in slices(batches, at, READ_BYTES):
+            names, scores = classifier.predict(strings(batch.column(at)).to_pylist())
             if batch.column(k).null_count:
                 batch = batch.set_column(k, batch.schema.field(k), pc.coalesce(batch.column(k), pa.array(names, batch.column(k).type)))
             yield batch.filter(pa.array([name != UNKNOWN and score >= foreign for name, score in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

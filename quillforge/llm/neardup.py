@@ -1,10 +1,9 @@
 """Near-duplicates by an inverted join over the coordinates of MinHash signatures.
 
 A text's set is its distinct shingles of k words; a signature holds the least value of each of
-COORDINATES hash functions over the set. Documents with equal sets form a class and go on as its
-smallest id. Every (coordinate, value) pair is a token and a class is posted under its tokens; two
-classes whose sets are alike to `percent` share at least MATCH tokens but for about one pair in
-10^5 at the bound itself (the binomial tail of 64 at 0.8), fewer above it.
+COORDINATES hash functions over the set. Documents with equal sets form a class and go on as one. Every (coordinate, value) pair is a token and a class is posted under its tokens; two
+classes whose sets are alike to `percent` share at least MATCH tokens but for about four pairs in
+10^6 at the bound itself (the binomial tail of 64 at 0.8), fewer above it.
 
 Prefix: with all tokens ordered from rare to frequent, two classes that share MATCH tokens meet in
 the first COORDINATES - MATCH + 1 of each. Skip: tokens of one class alone are not posted, and a
@@ -23,7 +22,10 @@ components still meets. (A family of many texts of which few are linked costs th
 
 Cases: null text, empty text or text without words has an empty set, linked with nothing; fewer
 than k words make one shingle of them all; a null id links with nothing and is kept; rows that
-repeat an id count as one document; extra columns are ignored.
+repeat an id are one document, which every one of its texts links (so all its rows have one component,
+in whatever order they come); of documents alike the smallest id names the component, and there are no
+other ties; very long texts are taken whole; an empty table gives no rows; extra columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -71,6 +73,10 @@ def shingle_sets(texts: pa.Array, k: int, lower: bool = True) -> list[np.ndarray
     return out
 
 
+def set_hash(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """Rows of COORDINATES least values; empty sets have zeros."""
     sizes = np.array([len(s) for s in sets])
@@ -93,11 +99,11 @@ def sketches(docs: DataFrame, k: int, lower: bool, id_col: str, text_col: str) -
             sets = shingle_sets(strings(batch.column(1)), k, lower)
             sig = signatures(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_hash, sets), pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
                 names=["id", "n", "set_hash", "sig"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, set_hash binary, sig binary")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, n long, set_hash binary, sig binary")
 
 
 def _matrix(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
@@ -240,14 +246,14 @@ def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def full_sets(texts: DataFrame, k: int, lower: bool) -> DataFrame:
-    """(id, n, shingles): sorted 64-bit hashes as bytes, and how many."""
+    """(id, n, set_hash, shingles): sorted 64-bit hashes as bytes, and how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(strings(batch.column(1)), k, lower)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_hash, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "set_hash", "shingles"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n long, shingles binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, set_hash binary, shingles binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -326,8 +332,10 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = Tru
     equal set, and the smallest id that links reach."""
     drawn = materialise(sketches(docs, k, lower, id_col, text_col), "sketches")
     full = drawn.filter("n > 0 and id is not null")
-    classes = full.groupBy("set_hash").agg(F.min(F.struct("id", "n", "sig")).alias("x")).select("x.id", "x.n", "x.sig").dropDuplicates(["id"])
-    posted = materialise(postings(classes), "postings")
+    # from here on `id` is the number of a class; `first` is its smallest document
+    least = full.groupBy("set_hash").agg(F.min(F.struct("id", "n", "sig")).alias("x")).select("set_hash", F.col("x.id").alias("first"), "x.n", "x.sig")
+    classes = materialise(least.sortWithinPartitions("first", "set_hash").withColumn("id", F.monotonically_increasing_id()), "classes")
+    posted = materialise(postings(classes.select("id", "n", "sig")), "postings")
     total = posted.count()
     blocks = F.ceil(F.col("df") / LIST).cast("int")
     first = posted.withColumns({"salt": F.pmod(F.xxhash64("id", "token"), blocks).cast("int"), "comp": F.col("id"), "home": F.lit(True)})
@@ -338,24 +346,33 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = Tru
         named = long.join(families, "id", "left").withColumn("comp", F.coalesce("family", "id"))
         matched = matched.unionByName(materialise(_merge_lists(_spread(named, "token", "comp"), total, percent, _across), "pairs")).distinct()
         families = connected_components(matched).withColumnRenamed("component", "family")
-    texts = _among(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null"), families.select("id"))
-    sets = materialise(full_sets(texts, k, lower).join(families.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
+    wanted = classes.select("id", "first", "set_hash").join(families.select("id"), "id").select(F.col("id").alias("class"), F.col("first").alias("id"), "set_hash")
+    texts = _among(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id is not null"), wanted.select("id"))
+    of_first = full_sets(texts, k, lower).join(wanted, ["id", "set_hash"]).dropDuplicates(["id", "set_hash"])
+    sets = materialise(of_first.select(F.col("class").alias("id"), "n", "shingles"), "sets")
     links = materialise(confirm(matched, sets, percent), "links")
     joined = connected_components(links)
     members = families.join(joined.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     more = materialise(link_families(members, sets, percent), "links")
-    if not more.isEmpty():
-        joined = connected_components(links.unionByName(more))
-    of_class = full.groupBy("set_hash").agg(F.min("id").alias("class_id")).join(joined.withColumnRenamed("id", "class_id"), "class_id", "left")
-    known = drawn.select("id", "n", "set_hash").join(of_class, (drawn["set_hash"] == of_class["set_hash"]) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
-    return known.select("id", "n", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component", "class_id", "id").alias("component_id"))
+    placed = materialise(full.select(F.col("id").alias("doc"), "n", "set_hash").join(classes.select("set_hash", "id", "first"), "set_hash").drop("set_hash"), "placed")
+    several = placed.groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("doc", "a")
+    same = placed.select("doc", F.col("id").alias("b")).join(several, "doc").filter("a < b").select("a", "b").distinct()  # one document, several texts
+    further = materialise(more.unionByName(same), "links")
+    if not further.isEmpty():
+        joined = connected_components(links.unionByName(further))
+    named = classes.select("id", "first").join(joined, "id").withColumnRenamed("component", "comp")
+    of_class = _salted(named.select("id", "comp"), named.groupBy("comp").agg(F.min("first").alias("component")), "comp").select("id", "component")
+    known = placed.join(of_class, "id", "left").select(F.col("doc").alias("id"), "n", F.col("first").alias("class_id"), F.coalesce("component", "first").alias("component_id"))
+    rest = drawn.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
+    return known.unionByName(rest)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """`docs` with one document of each group of near-duplicates: five-word shingles, 0.8."""
     found = components(docs, id_col=id_col)
-    kept = found.filter("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    return docs.filter(F.col(id_col).isNull()).unionByName(docs.join(kept, id_col, "left_semi").select(docs.columns))
+    kept = found.filter("id = component_id").select("id").distinct()
+    id_ = docs[f"`{id_col}`"]
+    return docs.filter(id_.isNull()).unionByName(docs.join(kept.withColumnRenamed("id", "_kept"), id_ == F.col("_kept"), "left_semi"))
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 The value of every base span is measured, and so is every other candidate: a run of SHORTEST or more
 token characters with a sensitive word in the AROUND characters on either side (of a run that holds
-the word, what stands before and after it), or of ASSIGNED or more right behind a sensitive name and
+such words, what stands before, between and after them), or of ASSIGNED or more right behind a sensitive name and
 `=` or `:`. Its novelty is what it adds to the compressed size of its surroundings, for each of its
 own bytes, under a compressor primed with a dictionary of identifiers: a known or repeated name adds
 next to nothing, a random string about its own length. A candidate that touches no base span and
@@ -17,6 +17,7 @@ whatever their names, are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import itertools
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from quillforge.llm.common import slices, strings, table
+from quillforge.llm.common import mapped, slices, strings, table
 
 KINDS = ("assign", "access", "hex", "novel")
 AROUND, SHORTEST, ASSIGNED = 512, 16, 12
@@ -92,28 +93,34 @@ def novel_spans(text: str, base: list[tuple[int, int, str, int]]) -> list[Span]:
     words = [m.span() for m in _SENSITIVE.finditer(text)]
     if not words:
         return []
-    taken = sorted((a, b) for a, b, _, _ in base)
-    found, w, t = [], 0, 0
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    taken: list[list[int]] = []  # base spans, those that overlap as one
+    for a, b in sorted((a, b) for a, b, _, _ in base):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    taken_ends = [b for _, b in taken]
+    found: list[Span] = []
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
-        while w < len(words) and words[w][0] < a - AROUND:
-            w += 1
-        while t < len(taken) and taken[t][1] <= a:
-            t += 1
-        near = list(itertools.takewhile(lambda x, b=b: x[1] <= b + AROUND, itertools.islice(words, w, None)))
-        over = list(itertools.takewhile(lambda x, b=b: x[0] < b, itertools.islice(taken, t, None)))
-        inner = [(x, y) for x, y in near if a < y and x < b]
-        # a run that holds the word itself is measured beside it
-        parts = [(a, b)] if len(near) > len(inner) else []
-        parts += [(y, b) for _, y in inner] + [(a, x) for x, _ in inner]
-        own: list[Span] = []
-        for x, y in parts:
-            least = ASSIGNED if any(q < x and _ASSIGNMENT.fullmatch(text, q, x) for _, q in near if x - 8 <= q) else SHORTEST
-            if y - x < least or any(p < y and x < q for p, q in over) or any(p <= x and y <= q for p, q, *_ in own):
+        near = bisect.bisect_right(ends, b + AROUND) - bisect.bisect_left(starts, a - AROUND)
+        if near <= 0:
+            continue
+        inner = words[bisect.bisect_right(ends, a) : bisect.bisect_left(starts, b)]
+        # a run that holds such words itself is measured before, between and after them
+        edges = [a, *itertools.chain.from_iterable(inner), b]
+        parts = list(zip(edges[::2], edges[1::2], strict=True)) if inner else []
+        for x, y in [(a, b)] * (near > len(inner)) + parts:
+            named = range(bisect.bisect_left(ends, x - 8), bisect.bisect_left(ends, x))
+            least = ASSIGNED if any(_ASSIGNMENT.fullmatch(text, ends[q], x) for q in named) else SHORTEST
+            t = bisect.bisect_right(taken_ends, x)
+            if y - x < least or (t < len(taken) and taken[t][0] < y):
                 continue
             if (new := _measure(text, x, y)) >= NOVEL:
-                own.append((x, y, "novel", x, new))
-        found += own
+                found.append((x, y, "novel", x, new))
+                if (x, y) == (a, b):
+                    break
     return found
 
 
@@ -155,20 +162,19 @@ def redact(text: str, mark: str = "[REDACTED]") -> str:
 
 def redact_texts(docs: DataFrame) -> DataFrame:
     """`docs` with secrets replaced in `text`, and `n_chars` (if there) set to the new length."""
-    schema = docs.schema
+    k, n = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            k = batch.schema.get_field_index("text")
+        for batch in slices(batches, k):
             hits = _gate(strings(batch.column(k)))
             texts = [redact(t) if hit and t is not None else t for t, hit in zip(batch.column(k).to_pylist(), hits, strict=True)]
             columns = list(batch.columns)
             columns[k] = pa.array(texts, batch.schema.field(k).type)
-            if (n := batch.schema.get_field_index("n_chars")) >= 0:
+            if n is not None:
                 columns[n] = pa.array([old if t is None or not hit else len(t) for t, hit, old in zip(texts, hits, batch.column(n).to_pylist(), strict=True)], batch.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run)
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 from brute import near_duplicates, repeats
+from pyspark.sql import functions as F
 from quillforge.llm import ledger, neardup, substrings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk int, row string, id long"
@@ -115,6 +116,19 @@ def test_dedup_edge_cases(spark):
     assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 2, 3, 4, 6, 6, 7]
 
 
+@pytest.mark.parametrize("parts", [1, 3, 4])
+def test_every_text_of_an_id_links(spark, parts):
+    """The same groups in whatever order the rows of a repeated id come."""
+    one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    docs = [(5, one), (5, two), (7, one + " x"), (9, two + " y"), (11, "far from these"), (5, one), (3, "far away " * 9), (11, "far away " * 8 + "far off")]
+    for rows in (docs, docs[::-1], sorted(docs, key=repr)):
+        made = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts).withColumn("a.b", F.lit(1))
+        found = {(r.id, r.component_id) for r in neardup.components(made).collect()}
+        assert found == {(5, 5), (7, 5), (9, 5), (11, 11), (3, 3)}
+        kept = neardup.keep_one(made)
+        assert kept.columns == made.columns and sorted(r.doc_id for r in kept.collect()) == [3, 5, 5, 5, 11, 11]
+
+
 @pytest.mark.parametrize("length", [1, 5, 13, 50])
 def test_repeats_match_brute_force(spark, length):
     docs = corpus(length)

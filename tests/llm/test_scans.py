@@ -80,7 +80,8 @@ def slow_novel(text):
         near = [(p, q) for p, q in words if p >= a - secrets.AROUND and q <= b + secrets.AROUND]
         inside = [(p, q) for p, q in near if q > a and p < b]
         own = []
-        for x, y in [(a, b)] * (len(near) > len(inside)) + [(q, b) for _, q in inside] + [(a, p) for p, _ in inside]:
+        edges = [a, *(e for word in sorted(inside) for e in word), b]
+        for x, y in [(a, b)] * (len(near) > len(inside)) + (list(zip(edges[::2], edges[1::2])) if inside else []):
             assigned = any(x - 8 <= q < x and re.fullmatch(r"""["']?\s*[:=]\s*["']?""", text[q:x]) for _, q in near)
             if y - x >= (12 if assigned else 16) and not any(p < y and x < q for p, q, *_ in base) and not any(p <= x and y <= q for p, q in own):
                 if secrets.novelty(text[x:y], text[max(0, x - secrets.AROUND) : x], text[y : y + secrets.AROUND]) >= secrets.NOVEL:
@@ -93,7 +94,7 @@ def test_novel_spans_match_brute_force():
     draw = random.Random(4)
     parts = ["token", "credential", "Bearer", "private_key", "=", ": ", " ", '"', "q7Zk29fLx0Pv", "B3mWn8RtAb", "the words around it ", "é", "\n", "x" * 300, "deadbeefdeadbeef", "zzzzzzzzzzzzzzzz"]
     some = 0
-    for _ in range(600):
+    for _ in range(800):
         text = "".join(draw.choice(parts) for _ in range(draw.randrange(1, 40)))
         want = slow_novel(text)
         assert {(a, b) for a, b, kind, *_ in secrets.find_spans(text) if kind == "novel"} == want, text
@@ -118,6 +119,8 @@ def test_every_base_value_is_measured(spark, sf_dir):
 def test_secret_scans_are_linear_and_take_empty_tables(spark):
     began = time.time()
     assert secrets.find_spans("token " * 200_000) == []
+    assert secrets.find_spans("token-ab" * 125_000) == []
+    assert len(secrets.find_spans("token-deadbeefdeadbeef_" * 20_000)) == 20_000
     assert len(secrets.find_spans("the end. " * 100_000 + 'secret = "q7Zk29fLx0PvB3mWn8Rt"')) == 1
     assert time.time() - began < 20
     frame = spark.createDataFrame([(1, "x", "y")], "doc_id int, text string, novelty string").filter("false")
@@ -136,6 +139,8 @@ def test_scan_and_redact_frames(spark):
     assert done[0].text == 'token = "[REDACTED]"' and done[0].n_chars == len(done[0].text)
     assert done[8].text is None and done[8].n_chars is None and done[9].text == ""
     assert secrets.redact_texts(frame.filter("false")).collect() == []
+    dotted = frame.withColumn("a.b", F.lit("x")).withColumn("c`d", F.lit("y"))
+    assert sorted(map(repr, secrets.redact_texts(dotted).drop("`a.b`", "`c``d`").collect())) == sorted(map(repr, out.collect())) and secrets.redact_texts(dotted).columns == dotted.columns
 
 
 def slow_ngrams(text):
@@ -228,6 +233,8 @@ def test_profiles_rank_and_predict(spark):
     assert kept.columns == frame.columns and {r.doc_id: r.lang for r in kept.collect()} == {d: lang or "en" for d, _, lang in docs if d not in (900, 901, 902)}
     strange = frame.unionByName(spark.createDataFrame([(950, "Жзий цчшъ бвгд", "en")], frame.schema))  # no n-gram of any profile
     assert 950 not in {r.doc_id for r in langid.keep_known(strange.filter("doc_id < 36 or doc_id = 950").withColumn("lang", F.when(F.col("doc_id") < 36, F.col("lang")))).collect()}
+    dotted = langid.keep_known(frame.withColumn("a.b", F.lit("x")))
+    assert dotted.columns == [*frame.columns, "a.b"] and dotted.count() == kept.count()
     nothing = langid.keep_known(frame.filter("false"))
     assert nothing.collect() == []
     assert langid.keep_known(frame.withColumn("lang", F.lit(None).cast("string"))).count() == len(docs)
