@@ -72,6 +72,28 @@ def entity_layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.layer_violations(edges.unionByName(back), graph.layers(edges, graph.strong_components(nodes, edges)))
 
 
+RING_SQL = "SELECT CAST(o_orderkey AS BIGINT) AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS scc, count(*) OVER (PARTITION BY o_custkey) AS size FROM orders"
+
+
+@query(f"WITH r AS ({RING_SQL}) SELECT node, CAST(scc AS BIGINT) AS scc, size FROM r")
+def order_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order leads to its customer's next one and the last to the first: rings as long as customers are busy."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").cast("long").alias("src"), "o_orderdate")
+    own = Window.partitionBy("o_custkey")
+    after = F.coalesce(F.lead("src").over(own.orderBy("o_orderdate", "src")), F.first("src").over(own.orderBy("o_orderdate", "src").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return graph.strong_components(orders.select(F.col("src").alias("node")), orders.select("src", after.alias("dst")))
+
+
+@query("SELECT event_id AS node, count(*) OVER (PARTITION BY user_id) - row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS layer FROM events")
+def event_chain_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event leads to the same user's next one: layers as deep as users are busy."""
+    events = table(spark, sf_dir, "events")
+    after = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    edges = events.select(F.col("event_id").alias("src"), after.alias("dst")).filter("dst is not null")
+    nodes = events.select(F.col("event_id").alias("node"))
+    return graph.layers(edges, graph.strong_components(nodes, edges)).select("node", "layer")
+
+
 @query(f"WITH {EVENT_SQL} SELECT src, dst FROM edges")
 def event_transition_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_graph(spark, sf_dir)[1]

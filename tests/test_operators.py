@@ -149,6 +149,58 @@ def test_strong_components_and_breaks(spark):
     assert {tuple(r) for r in graph.break_edges(e, found).collect()} == {("a", "a", "b"), ("d", "d", "e")}
 
 
+def in_group(spark, name, run):
+    """What run() gives, and how many jobs it took."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        found = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_long_chains_take_few_rounds(spark):
+    """10,000 nodes one behind another, shuffled names, with a ring in the middle of a second path."""
+    order = list(range(10_000))
+    random.Random(1).shuffle(order)
+    ahead = list(zip(order, order[1:], strict=False))
+    ring = [(20_000 + k, 20_000 + (k + 1) % 3000) for k in range(3000)] + [(30_000, 20_007), (20_011, 30_001)]
+    e = spark.createDataFrame(ahead + ring, "src long, dst long")
+    n = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    rows, jobs = in_group(spark, "scc", lambda: {r.node: (r.scc, r.size) for r in graph.strong_components(n, e).collect()})
+    assert jobs < 200 and all(rows[x] == (x, 1) for x in [*order, 30_000, 30_001])
+    assert {rows[20_000 + k] for k in range(3000)} == {(20_000, 3000)}
+    held = spark.createDataFrame([(x, *v) for x, v in rows.items()], "node long, scc long, size long")
+    rows, jobs = in_group(spark, "layers", lambda: {r.node: r.layer for r in graph.layers(e, held).collect()})
+    assert jobs < 100 and all(rows[x] == 9_999 - k for k, x in enumerate(order))
+    assert (rows[30_001], rows[20_500], rows[30_000]) == (0, 1, 2)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_graphs_match_brute_force(spark, seed):
+    draw = random.Random(seed)
+    n = 60
+    pairs = {(draw.randrange(n), draw.randrange(n)) for _ in range((40, 70, 110, 25)[seed])} | {(k, k + 1) for k in range(40, 50)}
+    reached = {a: {a: 0} for a in range(n)}
+    for a in range(n):
+        front, step = [a], 0
+        while front:
+            step += 1
+            front = [y for y in {y for x in front for z, y in pairs if z == x} if y not in reached[a]]
+            reached[a] |= dict.fromkeys(front, step)
+    e, all_nodes = spark.createDataFrame(list(pairs), "src long, dst long"), spark.createDataFrame([(k,) for k in range(n)], "node long")
+    found = {r.node: (r.reachable, r.indirect, r.depth) for r in graph.reach(all_nodes, e).collect()}
+    assert found == {a: (len(d) - 1, sum(x > 1 for x in d.values()), max(d.values())) for a, d in reached.items()}
+    same = {a: {b for b in reached[a] if a in reached[b]} for a in range(n)}
+    scc = graph.strong_components(all_nodes, e)
+    assert {(r.node, r.scc, r.size) for r in scc.collect()} == {(a, min(b), len(b)) for a, b in same.items()}
+
+    def height(a):
+        return max((1 + height(min(same[y])) for x in same[a] for z, y in pairs if z == x and y not in same[a]), default=0)
+
+    assert {r.node: r.layer for r in graph.layers(e, scc).collect()} == {a: height(a) for a in range(n)}
+
+
 def test_components_and_clusters(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 1.0), (7, 8, 0.95), (8, 7, 0.95)], "id1 long, id2 long, similarity double")
     members = dedup.clusters(pairs)
