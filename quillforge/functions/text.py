@@ -177,3 +177,20 @@ def mermaid_id(prefix: str, text: Column) -> Column:
 def candidates_text(names: Column, most: int = 3) -> Column:
     """The first names, with a mark that more follow."""
     return F.concat(F.array_join(F.slice(names, 1, most), ", "), F.when(F.size(names) > most, F.lit(", …")).otherwise(F.lit("")))
+
+
+def fnv1a64(value: Column) -> Column:
+    """FNV-1a in 64 bits over a string's UTF-8 bytes, as 16 hexadecimal digits.
+
+    Products wrap around at 2^64 by keeping two halves of 32 bits: the prime is 2^40 + 435."""
+    half = F.lit(0xFFFFFFFF)
+    each = F.transform(F.regexp_extract_all(F.hex(value.cast("binary")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("long"))
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+
+    def step(h: Column, byte: Column) -> Column:
+        lo = h["lo"].bitwiseXOR(byte)
+        low = lo * 435
+        return F.struct((h["hi"] * 435 + F.shiftright(low, 32) + F.shiftleft(lo, 8)).bitwiseAND(half).alias("hi"), low.bitwiseAND(half).alias("lo"))
+
+    digits = lambda x: F.lpad(F.hex(x), 8, "0")
+    return F.aggregate(each, start, step, lambda h: F.lower(F.concat(digits(h["hi"]), digits(h["lo"]))))

@@ -22,7 +22,21 @@ def percentiles(long: DataFrame, by: list[str], value: str = "value") -> DataFra
     Equal values are counted before the shuffle, so a frequent value is one row. The counts are dealt
     by range of (group, value) and written once; each part of a group is then ranked by itself, behind
     the counts of the parts before it, so no task takes a whole group. Groups without a value have no row."""
-    counted = long.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    return percentiles_of_counts(counts(long, by, value), by, value)
+
+
+def counts(long: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """(by, value, _n): an exact distribution of each group. Counts of parts of a table, kept or not, make
+    those of the whole by `merged`."""
+    return long.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+
+
+def merged(kept: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    return kept.groupBy(*by, value).agg(F.sum("_n").alias("_n"))
+
+
+def percentiles_of_counts(counted: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """`percentiles` of what has been counted already, by `counts` or `merged`."""
     held = materialise(counted.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "counts")
     keys = [F.col(c).alias(f"_k{k}") for k, c in enumerate(by)]
     parts = held.groupBy(*keys, F.col("_part").alias("_p")).agg(F.sum("_n").alias("_in"), F.max(value).alias("_most"))

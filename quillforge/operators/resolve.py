@@ -106,3 +106,20 @@ def covering_tests(definitions: DataFrame, usages: DataFrame) -> DataFrame:
     usages has (test_file, test_id, ref)."""
     keys = definitions.select("file", "name", F.explode(F.array_distinct(F.array_compact(F.array("name", "owner")))).alias("ref")).distinct()
     return keys.join(usages, "ref").select("file", "name", "test_file", "test_id").distinct()
+
+
+def resolved_uses(definitions: DataFrame, usages: DataFrame, identifiers: DataFrame, winners: DataFrame) -> DataFrame:
+    """(file, name, test_file, test_id, evidence): every use of a name, given to one of its definitions.
+
+    2: the using test also refers to an identifier of the definition's file (the first such file); else 1:
+    one file alone defines the name, or `winners` (name, file) has one for it; else 0: the first of its files. Evidence is
+    looked up from the identifiers that a test refers to, so no use meets all definitions of a frequent name."""
+    defs = definitions.select("file", "name").distinct()
+    used = usages.select("test_file", "test_id", F.col("ref").alias("name")).join(defs.select("name").distinct(), "name", "left_semi").distinct()
+    seen = usages.select("test_file", "test_id", F.col("ref").alias("ident")).join(identifiers.select("file", "ident").distinct(), "ident").select("test_file", "test_id", "file").distinct()
+    key = ["test_file", "test_id", "name"]
+    near = seen.join(defs, "file").join(used, key).groupBy(*key).agg(F.min("file").alias("_near"))
+    least = defs.groupBy("name").agg(F.min("file").alias("_first"), F.count("*").alias("_n")).join(winners.select("name", F.col("file").alias("_won")), "name", "left")
+    whole = used.join(near, key, "left").join(least, "name")
+    evidence = F.when(F.col("_near").isNotNull(), 2).when((F.col("_n") == 1) | F.col("_won").isNotNull(), 1).otherwise(0).cast("int")
+    return whole.select(F.coalesce("_near", "_won", "_first").alias("file"), "name", "test_file", "test_id", evidence.alias("evidence"))

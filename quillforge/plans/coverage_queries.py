@@ -56,6 +56,31 @@ def covering_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.covering_tests(own, used)
 
 
+IDENT_SQL = "ident AS (SELECT file, name AS ident FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY length(name) DESC, name) AS k FROM defs) WHERE k = 1)"
+WON_SQL = "own AS (SELECT d.name, d.file, i.ident FROM defs d JOIN many ON many.name = d.name JOIN ident i ON i.file = d.file JOIN refs ON refs.ref = i.ident), alone AS (SELECT name, ident, min(file) AS file FROM own GROUP BY name, ident HAVING count(*) = 1), won AS (SELECT name, min(file) AS file FROM alone GROUP BY name HAVING count(DISTINCT file) = 1)"
+
+
+def identifiers(defs: DataFrame) -> DataFrame:
+    """(file, ident): an item goes by its longest word, the first of equal ones."""
+    return defs.groupBy("file").agg(F.min(F.struct((-F.length("name")).alias("n"), "name")).alias("x")).select("file", F.col("x.name").alias("ident"))
+
+
+def document_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("test_file"), F.col("doc_id").cast("string").alias("test_id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("ref"))
+
+
+@query(f"""WITH {DEFS_SQL}, {IDENT_SQL}, {WON_SQL}, used AS (SELECT DISTINCT source AS test_file, CAST(doc_id AS VARCHAR) AS test_id, unnest({WORDS_SQL}) AS name FROM documents),
+near AS (SELECT test_id, test_file, u.name, min(d.file) AS file FROM used u JOIN defs d ON d.name = u.name JOIN ident i ON i.file = d.file WHERE EXISTS (SELECT 1 FROM used o WHERE o.test_id = u.test_id AND o.test_file = u.test_file AND o.name = i.ident) GROUP BY ALL),
+lone AS (SELECT name, min(file) AS file, count(*) AS n FROM defs GROUP BY name)
+SELECT coalesce(near.file, won.file, lone.file) AS file, u.name, u.test_file, u.test_id, CAST(CASE WHEN near.file IS NOT NULL THEN 2 WHEN n = 1 OR won.file IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS evidence
+FROM used u JOIN lone ON lone.name = u.name LEFT JOIN won ON won.name = u.name LEFT JOIN near ON near.name = u.name AND near.test_id = u.test_id AND near.test_file = u.test_file""")
+def covering_tests_all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of every name, resolved to one item."""
+    defs = definitions(spark, sf_dir)
+    known = identifiers(defs)
+    return resolve.resolved_uses(defs, document_uses(spark, sf_dir), known, resolve.disambiguate(defs, known, references(spark, sf_dir)))
+
+
 @query(f"WITH {DEFS_SQL}, ident AS (SELECT file, name AS ident FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY length(name) DESC, name) AS k FROM defs) WHERE k = 1), own AS (SELECT d.name, d.file, i.ident FROM defs d JOIN many ON many.name = d.name JOIN ident i ON i.file = d.file JOIN refs ON refs.ref = i.ident), alone AS (SELECT name, ident, min(file) AS file FROM own GROUP BY name, ident HAVING count(*) = 1) SELECT name, min(file) AS file FROM alone GROUP BY name HAVING count(DISTINCT file) = 1")
 def disambiguated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An item goes by its longest word, the first of equal ones."""

@@ -247,3 +247,11 @@ def conversation_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f'WITH {NEST_SQL} SELECT o.conv_id, o.turn AS "outer", i.turn AS "inner" FROM r o JOIN r i ON o.conv_id = i.conv_id AND o.turn <> i.turn WHERE o.a <= i.a AND i.b <= o.b AND (o.a < i.a OR i.b < o.b OR o.turn < i.turn)')
 def nested_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.nested(conversation_ranges(spark, sf_dir), "conv_id", "turn", "a", "b")
+
+
+@query(f"WITH {NEST_SQL}, met AS (SELECT p.conv_id, p.turn, r.turn AS holder, row_number() OVER (PARTITION BY p.conv_id, p.turn ORDER BY r.b - r.a, r.turn) AS k FROM r p JOIN r ON r.conv_id = p.conv_id AND r.a <= p.b AND p.b <= r.b) SELECT conv_id, turn, holder FROM met WHERE k = 1")
+def smallest_enclosing_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the end of each turn the shortest range of its conversation that holds it."""
+    held = conversation_ranges(spark, sf_dir)
+    points = held.select("conv_id", "turn", F.col("b").alias("at"))
+    return ranges.smallest_enclosing(points, held.select("conv_id", F.col("turn").alias("holder"), "a", "b"), "conv_id", "at", "a", "b", "holder").select("conv_id", "turn", "holder")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillforge.functions import text as T
 from quillforge.operators import dedup, profile, render, rules
+from quillforge.plans import parts
 from quillforge.plans.registry import query, table
-from quillforge.sources.scratch import materialise
+from quillforge.sources import rejects
+from quillforge.sources.scratch import materialise, remember, shared_dir
 
 MEASURES = ["lines", "tokens", "chars", "distinct_words"]
 LIMITS = {"lines": 20, "tokens": 700, "chars": 5000, "distinct_words": 400}
@@ -23,14 +27,17 @@ LONG_SQL = f"WITH wide AS ({WIDE_SQL}), m AS (UNPIVOT (SELECT doc_id, lang, sour
 LIMIT_SQL = "CASE metric " + " ".join(f"WHEN '{m}' THEN {v}" for m, v in LIMITS.items()) + " END"
 
 
-def unit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+def measured(docs: DataFrame) -> DataFrame:
     tokens = T.tokens(T.normalize_code(F.col("text")))
     return docs.select("doc_id", "lang", "source", T.line_count(F.col("text")).alias("lines"), F.length("text").cast("long").alias("chars"), tokens.alias("_t")).select(
         "doc_id", "lang", "source", "lines", F.size("_t").cast("long").alias("tokens"), "chars", F.size(F.array_distinct("_t")).cast("long").alias("distinct_words")
     )
 
 
+def unit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measured(table(spark, sf_dir, "documents"))
+
+
 def long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.to_long(unit_metrics(spark, sf_dir), ["doc_id", "lang", "source"], MEASURES)
 
@@ -247,3 +254,74 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of all inputs that does not depend on their order, so it is summed before the shuffle."""
     each = T.md5_prefix(F.concat_ws(":", "doc_id", "n_chars", F.md5("text")))
     return table(spark, sf_dir, "documents").agg(F.sum(each.cast("decimal(38,0)")).cast("string").alias("fingerprint"), F.count("*").alias("files"))
+
+
+_FNV_KEY = "concat_ws(':', doc_id, lang, source, n_chars, md5(text))"
+
+
+@query(f"SELECT doc_id, lpad(lower(to_hex(list_reduce(list_prepend(14695981039346656037::UBIGINT, list_transform(regexp_extract_all(hex(encode({_FNV_KEY})), '..'), lambda p: ('0x' || p)::UBIGINT)), lambda h, b: (xor(h, b)::UHUGEINT * 1099511628211 % 18446744073709551616)::UBIGINT))), 16, '0') AS fnv FROM documents")
+def document_fnv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FNV-1a of what a document is known by; the text itself goes in as its MD5."""
+    key = F.concat_ws(":", "doc_id", "lang", "source", "n_chars", F.md5("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.fnv1a64(key).alias("fnv"))
+
+
+def page_rules() -> dict:
+    """What a page must have; the first that is broken is the reason."""
+    balanced = lambda tag: F.regexp_count("html", F.lit(f"<{tag}>")) == F.regexp_count("html", F.lit(f"</{tag}>"))
+    return {"no text": F.length("html") > 0, "no address": F.col("url").rlike("^https?://[^/]+/"), "cut short": F.col("html").endswith("</html>"), "open bold": balanced("b"), "open paragraph": balanced("p")}
+
+
+_REASON_SQL = """CASE WHEN coalesce(length(html), 0) = 0 THEN 'no text' WHEN url IS NULL OR NOT regexp_matches(url, '^https?://[^/]+/') THEN 'no address' WHEN NOT ends_with(html, '</html>') THEN 'cut short'
+WHEN len(regexp_extract_all(html, '<b>')) <> len(regexp_extract_all(html, '</b>')) THEN 'open bold' WHEN len(regexp_extract_all(html, '<p>')) <> len(regexp_extract_all(html, '</p>')) THEN 'open paragraph' END"""
+
+
+@query(f"WITH r AS (SELECT page_id, md5(html) AS html_md5, {_REASON_SQL} AS reason FROM pages) SELECT page_id, html_md5, reason FROM r")
+def page_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that keep all rules (without a reason), and those that do not with the first that they break."""
+    found = rejects.told_apart(table(spark, sf_dir, "pages"), page_rules())
+    return found.good.withColumn("reason", F.lit(None).cast("string")).unionByName(found.rejects).select("page_id", F.md5("html").alias("html_md5"), "reason")
+
+
+@query("""WITH r AS (SELECT CASE WHEN NOT coalesce(json_valid(props) AND json_type(props, '$.k') IN ('UBIGINT', 'BIGINT'), FALSE) THEN 'no number k' WHEN (props ->> '$.k')::BIGINT > 94 THEN 'k over 94' WHEN event_type = 'error' AND value > 90 THEN 'large error' ELSE 'good' END AS name FROM events)
+SELECT w.name, count(r.name) AS rows FROM (VALUES ('good'), ('no number k'), ('k over 94'), ('large error')) w(name) LEFT JOIN r ON r.name = w.name GROUP BY w.name""")
+def event_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events keep the rules on their properties and how many break which, counted while they are told apart."""
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    rules_ = {"no number k": k.isNotNull(), "k over 94": k <= 94, "large error": (F.col("event_type") != "error") | (F.col("value") <= 90)}
+    found = rejects.told_apart(table(spark, sf_dir, "events"), rules_)
+    return spark.createDataFrame(list(found.counts.items()), "name string, rows long")
+
+
+def _kept_folder(spark: SparkSession) -> str:
+    folder = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    remember(folder, spark)
+    return folder
+
+
+def _source_totals(docs: DataFrame) -> DataFrame:
+    words = F.size(T.words(F.col("text"))).cast("long")
+    return docs.groupBy(F.col("source").alias("part")).agg(F.count("*").alias("docs"), F.sum(F.length("text").cast("long")).alias("chars"), F.sum(words).alias("words"))
+
+
+@query("WITH w AS (SELECT source, length(text) AS chars, len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda t: t <> '')) AS words FROM documents) SELECT source, count(*) AS docs, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(words) AS BIGINT) AS words, source = (SELECT min(source) FROM documents) AS made_again FROM w GROUP BY source")
+def source_totals_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, kept for a table whose first source was another, then brought up to date: one part is made again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    folder = _kept_folder(spark)
+    first = docs.agg(F.min("source")).first()[0]
+    parts.refreshed(folder, docs.withColumn("text", F.when(F.col("source") == first, F.lit("other")).otherwise(F.col("text"))), "source", _source_totals)
+    found, again = parts.refreshed(folder, docs, "source", _source_totals)
+    flags = again.select(F.col("part"), F.lit(True).alias("made_again"))
+    return found.join(flags, "part", "left").select(F.col("part").alias("source"), "docs", "chars", "words", F.coalesce("made_again", F.lit(False)).alias("made_again"))
+
+
+@query(f"{LONG_SQL} {percent_sql('metric', 'm')}")
+def percentiles_from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of all documents from the distributions kept of each source."""
+
+    def distributions(docs: DataFrame) -> DataFrame:
+        return profile.counts(profile.to_long(measured(docs), ["doc_id", "lang", "source"], MEASURES), ["source", "metric"]).withColumnRenamed("source", "part")
+
+    found, _ = parts.refreshed(_kept_folder(spark), table(spark, sf_dir, "documents"), "source", distributions)
+    return profile.percentiles_of_counts(profile.merged(found, ["metric"]), ["metric"])

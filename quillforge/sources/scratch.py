@@ -33,13 +33,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _left[path] = spark
+    remember(path, spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def remember(path: str, spark: SparkSession) -> None:
+    """Delete the path when the driver ends."""
+    _left[path] = spark
+
+
 def drop(df: DataFrame) -> None:
     """Delete what materialise wrote for df; neither it nor anything lazy that reads it may be used again."""
     path = getattr(df, "_scratch", None)

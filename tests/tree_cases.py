@@ -1,8 +1,8 @@
-"""Analyses of a small source tree that is part of the queries.
+"""Analyses of a small source tree, with the rows that they must give.
 
-The rows wanted stand beside each query as text. They were printed by the query itself and then read
+The rows wanted stand beside each case as text. They were printed by the case itself and then read
 against the rules, most of them value by value (not the token counts of chunks nor every Rust measure);
-from then on they hold the query. The tree does not depend on the tables, so these queries ignore sf_dir."""
+from then on they hold the case. No table is read; these are tests, not queries of the catalogue."""
 
 from __future__ import annotations
 
@@ -15,9 +15,20 @@ from quillforge.functions import text as T
 from quillforge.operators import coarsen, graph, render, resolve, rules
 from quillforge.plans import rename
 from quillforge.plans.analysis import Corpus
-from quillforge.plans.registry import query
 from quillforge.sources import config, extract
 
+CASES: dict = {}
+WANTED: dict = {}
+
+
+def query(sql: str):
+    def add(f):
+        CASES[f.__name__], WANTED[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 CART = '''import os
 from typing import TYPE_CHECKING, Protocol
 from shop import stock
