@@ -195,7 +195,7 @@ def doc_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = materialise(doc_signatures(spark, sf_dir), "signatures")
-    return dedup.verified(dedup.candidates(signed, "doc_id", BANDS, exact=True), signed, "doc_id", ALIKE)
+    return dedup.alike_pairs(signed, "doc_id", BANDS, ALIKE)
 
 
 @query(f"WITH {SIGNED_SQL} SELECT doc_id, array_to_string(g, ',') AS signature FROM sig")
@@ -232,7 +232,8 @@ CLUSTER_SQL = f"{PAIRS_SQL}, both_ways AS (SELECT id1 AS a, id2 AS b FROM pairs
 
 @query(f"WITH RECURSIVE {CLUSTER_SQL} SELECT id, cluster_id FROM member")
 def near_dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.clusters(doc_pairs(spark, sf_dir))
+    signed = materialise(doc_signatures(spark, sf_dir), "signatures")
+    return dedup.clusters(dedup.alike_links(signed, "doc_id", BANDS, ALIKE))
 
 
 @query(f"WITH RECURSIVE {CLUSTER_SQL} SELECT cluster_id, count(DISTINCT id) AS size, (SELECT round(avg(similarity), 9) FROM pairs p JOIN member q ON q.id = p.id1 WHERE q.cluster_id = m.cluster_id) AS avg_similarity FROM member m GROUP BY cluster_id")

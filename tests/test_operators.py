@@ -257,6 +257,32 @@ def test_queries_hold_groups_over_the_cap(spark, tmp_path):
     assert row.size == 150 and row.avg_similarity == 1.0
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_links_and_pairs_inside_buckets(spark, monkeypatch, block):
+    """The same pairs as joining buckets and verifying, and links of the same clusters, whatever a block holds."""
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    draw = random.Random(11)
+    base = [[draw.randrange(9) for _ in range(12)] for _ in range(3)]
+    rows = [(k, [draw.randrange(50) if draw.random() < 0.15 else v for v in base[k % 3]]) for k in range(90)] + [(200 + k, base[0]) for k in range(9)]
+    signed = spark.createDataFrame(rows, "id long, signature array<long>").repartition(3)
+    want = {tuple(r) for r in dedup.verified(dedup.candidates(signed, "id", 4, exact=True), signed, "id", 0.75).collect()}
+    found = [tuple(r) for r in dedup.alike_pairs(signed, "id", 4, 0.75).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    links = dedup.alike_links(signed, "id", 4, 0.75)
+    both = [{tuple(r) for r in dedup.clusters(x).collect()} for x in (links, spark.createDataFrame(found, "id1 long, id2 long, similarity double"))]
+    assert both[0] == both[1]
+
+
+def test_a_bucket_of_ten_thousand_near_copies_is_linear(spark):
+    draw = random.Random(2)
+    same = [draw.randrange(1 << 30) for _ in range(100)]
+    rows = [(k, [*same[:5], *(v if draw.random() > 0.05 else draw.randrange(1 << 30) for v in same[5:])]) for k in range(10_000)]
+    links = dedup.alike_links(spark.createDataFrame(rows, "id long, signature array<long>").repartition(4), "id", 20, 0.8).select("id1", "id2").distinct()
+    links = links.persist()
+    assert links.count() < 25 * 10_000
+    assert {r.component for r in connected_components(links, "id1", "id2").select("component").distinct().collect()} == {0}
+
+
 def test_ranges(spark):
     rows = spark.createDataFrame([("f", 1, 0, 10), ("f", 2, 10, 12), ("f", 3, 11, 15), ("g", 4, 0, 3)], "path string, k int, a int, b int")
     assert [r.k for r in ranges.overlaps(rows, "path", "a", "b", "k").collect()] == [2]
