@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from quillforge.functions import text as T
-from quillforge.operators import dedup, graph, profile, ranges, render, resolve, rules
+from quillforge.operators import components, dedup, graph, profile, ranges, render, resolve, rules
 from quillforge.operators.components import connected_components
 from quillforge.plans import text_queries
 from quillforge.schema import METRICS, default_thresholds
@@ -201,6 +201,18 @@ def test_graphs_match_brute_force(spark, seed):
     assert {r.node: r.layer for r in graph.layers(e, scc).collect()} == {a: height(a) for a in range(n)}
 
 
+@pytest.mark.parametrize("few", [0, 12, 1 << 17])
+def test_components_in_rounds_or_at_once(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    links = [(f"n{k:02d}", f"n{k + 1:02d}") for k in range(20) if k % 7] + [("é", "z"), ("z", "a"), ("b", "b"), (None, "a"), ("a", "é")]
+    found = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a string, b string")).collect()}
+    want = {"a": "a", "z": "a", "é": "a"}
+    for low, high in ((1, 7), (8, 14), (15, 20)):
+        want |= {f"n{k:02d}": f"n{low:02d}" for k in range(low, high + 1)}
+    assert found == want
+    assert connected_components(spark.createDataFrame([], "a string, b string")).collect() == []
+
+
 def test_components_and_clusters(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 1.0), (7, 8, 0.95), (8, 7, 0.95)], "id1 long, id2 long, similarity double")
     members = dedup.clusters(pairs)
