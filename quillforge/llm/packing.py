@@ -3,9 +3,10 @@
 A document's full windows stand alone. What is left of it is one item, placed into the fill level
 that makes the sum over levels of (partially filled windows at that level)^2 smallest; a level
 array holds the counts and each level a stack of its open windows. A task packs the rows of its
-own input partition, so nothing is shuffled; windows that are still open at its end, or once they
-hold OPEN tokens between them, are joined and cut anew into full windows and at last into windows
-whose sizes are powers of two, which take no padding.
+own input partition, so nothing is shuffled. At its end, and one window at a time while they hold over
+OPEN tokens between them, the emptiest open window is dealt to the others by the same rule; only an item
+that fits into none of them is cut. The last window is cut into sizes that are powers of two, which take
+no padding, as do windows left at such a level.
 
 Cases: a null or empty text is one token, the end id; a document of any length is cut freely;
 repeated rows are packed each on its own; ties go to the lowest level; a table without rows has
@@ -34,7 +35,7 @@ WINDOW = 1024
 END_ID = 0
 #: The added tokens of byte_bpe_50k.json; none holds a space, before which chunks are cut.
 ADDED = {"<|endoftext|>": 50256}
-#: Tokens that open windows of a task hold before they are closed.
+#: Tokens that open windows of a task hold at most.
 OPEN = 1 << 22
 #: Sequence ids are task * TASK + count.
 TASK = 1 << 40
@@ -45,54 +46,74 @@ class Packer:
 
     def __init__(self, window: int = WINDOW, first_sequence: int = 0, most: int = OPEN):
         self.window, self.next, self.most = window, first_sequence, most
-        self._clear()
-
-    def _clear(self) -> None:
         #: Open windows at each fill level; level 0 stands for a new window, level `window` for a full one.
         self.count = np.zeros(self.window + 1, dtype=np.int64)
         self.open: list[list[tuple[int, list[tuple]]]] = [[] for _ in range(self.window + 1)]
-        self.held = 0
+        self.held = self.placed = self.cut = 0
+        self.rest: list[tuple] = []
 
     def _new(self) -> int:
         self.next += 1
         return self.next - 1
 
-    def level(self, size: int) -> int:
-        """The level whose use for an item of `size` gives the smallest sum of squared counts."""
+    def level(self, size: int, new: bool = True) -> int:
+        """The level whose use for an item of `size` gives the smallest sum of squared counts; -1 if no open
+        window has room and there may be no new one."""
         fits = np.arange(self.window - size + 1)
         gain = 2 * self.count[fits + size] + 1
         gain[-1] = 0  # a full window is no longer partial
         gain[1:] -= 2 * self.count[1 : len(fits)] - 1
         usable = self.count[fits] > 0
-        usable[0] = True
-        return int(np.argmin(np.where(usable, gain, np.iinfo(np.int64).max)))
+        usable[0] = new
+        return int(np.argmin(np.where(usable, gain, np.iinfo(np.int64).max))) if usable.any() else -1
+
+    def _take(self, level: int) -> tuple[int, list[tuple]]:
+        self.count[level] -= 1
+        self.held -= level
+        return self.open[level].pop()
+
+    def _place(self, at: int, item: tuple) -> Iterator[tuple]:
+        """Put an item into a window of fill level `at`, which is written if that fills it."""
+        sequence, held = self._take(at) if at else (self._new(), [])
+        held.append(item)
+        fill = at + len(item[2])
+        if fill == self.window:
+            yield from self._write(sequence, held)
+        else:
+            self.open[fill].append((sequence, held))
+            self.count[fill] += 1
+            self.held += fill
 
     def add(self, key: object, ids: np.ndarray) -> Iterator[tuple]:
         total, w = len(ids), self.window
         whole = total - total % w
         for start in range(0, whole, w):
             yield (key, start, w, zlib.crc32(ids[start : start + w]), total, self._new(), 0)
-        if whole == total:
-            return
-        part = ids[whole:]
-        at = self.level(len(part))
-        if at:
-            sequence, held = self.open[at].pop()
-            self.count[at] -= 1
-        else:
-            sequence, held = self._new(), []
-        held.append((key, whole, part.copy(), total))
-        fill = at + len(part)
-        self.held += len(part)
-        if fill == w:
-            self.held -= w
-            yield from self._write(sequence, held)
-        else:
-            self.open[fill].append((sequence, held))
-            self.count[fill] += 1
-        if self.held > self.most:
-            yield from self.close()
-            self._clear()
+        if whole < total:
+            part = ids[whole:].copy()
+            yield from self._place(self.level(len(part)), (key, whole, part, total))
+            self.placed += 1
+        while self.held > self.most:
+            yield from self._dissolve()
+
+    def _dissolve(self) -> Iterator[tuple]:
+        """Deal the items of the emptiest window to the other open ones, by the same rule; an item that fits into
+        none is cut, to fill the emptiest. What is left when no window is open goes to `rest`."""
+        _, items = self._take(int(np.argmax(self.count > 0)))
+        items.reverse()
+        while items:
+            key, start, part, total = items.pop()
+            at = self.level(len(part), new=False)
+            if at < 0 and self.held:
+                at = int(np.argmax(self.count > 0))
+                room = self.window - at
+                items.append((key, start + room, part[room:], total))
+                part = part[:room]
+                self.cut += 1
+            if at < 0:
+                self.rest.append((key, start, part, total))
+            else:
+                yield from self._place(at, (key, start, part, total))
 
     @staticmethod
     def _write(sequence: int, held: list[tuple]) -> Iterator[tuple]:
@@ -102,27 +123,27 @@ class Packer:
             offset += len(part)
 
     def close(self) -> Iterator[tuple]:
-        """Write what is open; at most one window for each bit of `window` is then not full."""
-        held = []
-        for level in range(self.window - 1, 0, -1):
-            for sequence, parts in self.open[level]:
-                if level & (level - 1) == 0:
-                    yield from self._write(sequence, parts)
-                else:
-                    held += parts
-        left = sum(len(p[2]) for p in held)
-        sizes = [self.window] * (left // self.window) + [1 << b for b in range(self.window.bit_length() - 2, -1, -1) if left % self.window >> b & 1]
-        held.reverse()
-        for size in sizes:
+        """Write what is open: windows whose fill is a power of two as they are, the others filled from the
+        emptiest of them, and what is left at last cut into powers of two."""
+        for level in range(1, self.window):
+            while level & (level - 1) == 0 and self.count[level]:
+                yield from self._write(*self._take(level))
+        while self.held:
+            yield from self._dissolve()
+        left = sum(len(item[2]) for item in self.rest)
+        self.rest.reverse()
+        for bit in range(self.window.bit_length() - 1, -1, -1):
             filled, parts = 0, []
-            while filled < size:
-                key, start, part, total = held.pop()
-                take = min(size - filled, len(part))
+            while left >> bit & 1 and filled < 1 << bit:
+                key, start, part, total = self.rest.pop()
+                take = min((1 << bit) - filled, len(part))
                 parts.append((key, start, part[:take], total))
                 if take < len(part):
-                    held.append((key, start + take, part[take:], total))
+                    self.rest.append((key, start + take, part[take:], total))
+                    self.cut += 1
                 filled += take
-            yield from self._write(self._new(), parts)
+            if parts:
+                yield from self._write(self._new(), parts)
 
 
 @functools.cache

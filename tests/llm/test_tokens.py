@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 import tokenizers
@@ -222,6 +223,25 @@ def test_op6_matches_the_library(spark, sf_dir):
     assert check_packing([tuple(r) for r in rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset").collect()], 1024, want) == 0
 
 
+@pytest.mark.parametrize("most", [packing.OPEN, 1 << 17])
+def test_most_tails_stay_where_the_rule_placed_them(sf_dir, most):
+    """A cut's head goes where there is room, all other pieces of tails by the rule; one partition, as a task sees it."""
+    coder = packing.load(public_tokenizers.path(packing.RANKS), added=True)
+    texts = pq.read_table(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet", columns=["text"]).column("text").combine_chunks().fill_null("")
+    ids, first = coder.ids(texts)
+    packer, rows, want = packing.Packer(most=most), [], {}
+    for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        want[d] = [*ids[a:b].tolist(), 0]
+        rows += packer.add(d, np.array(want[d], "<u4"))
+    rows += packer.close()
+    assert check_packing(rows, 1024, want) == 0
+    tails = [d for d, x in want.items() if len(x) % 1024]
+    pieces_of_tails = sum(r[1] >= r[4] - r[4] % 1024 for r in rows)
+    assert packer.placed == len(tails) and pieces_of_tails == len(tails) + packer.cut
+    whole = {r[0] for r in rows if r[2] == r[4] % 1024 and r[1] + r[2] == r[4]}
+    assert len(whole & set(tails)) > 0.85 * len(tails)
+
+
 def test_open_windows_are_bounded_and_equal_rows_stay_apart():
     draw = random.Random(7)
     packer, rows, want, most = packing.Packer(64, most=500), [], {}, 0
