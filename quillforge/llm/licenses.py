@@ -5,8 +5,9 @@ both are anchors, the longest increasing subsequence of their places is kept, an
 kept anchors are aligned in the same way; equal words next to a gap's ends are taken first, and a gap
 without anchors goes by its longest common subsequence. The share of the template's words that are
 matched, in order, is its coverage. From COVERAGE on it is reported with the code points from the
-first matched word to the last, if its marks, the words that tell it from its like, are all among
-the matched. Of overlapping reports the one with more matched words stays (then more coverage, then
+first matched word to the last, if its marks, the words that tell it from its like, are all among the
+matched and marks that are neighbours in the template are neighbours in the text (so no Lesser license
+passes for the General one). Of overlapping reports the one with more matched words stays (then more coverage, then
 the earlier name).
 
 A template's seeds are its rarest mark, or, where it has none, more words than a report may miss; so
@@ -61,6 +62,8 @@ def gnu_header(what: str, version: str, name: str) -> str:
     )
 
 
+#: SPDX names that stand in files as an identifier line.
+SPDX = ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "Zlib", "Unlicense", "CC0-1.0", "BSL-1.0", "EPL-2.0")
 #: Wordings of public licenses and their notices: name (SPDX where there is one), text, marks.
 TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("MIT-notice", "Released under the MIT License.", "mit"),
@@ -83,6 +86,9 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ),
     ("GPL-notice", "This work is licensed under the GNU General Public License, version 3.", "gnu general public 3"),
     ("GPL-2.0-notice", "This work is licensed under the GNU General Public License, version 2.", "gnu general public 2"),
+    ("LGPL-notice", "Licensed under the GNU Lesser General Public License, version 3.", "gnu lesser general public 3"),
+    ("LGPL-2.1-notice", "Licensed under the GNU Lesser General Public License, version 2.1.", "gnu lesser general public 2.1"),
+    ("AGPL-notice", "Licensed under the GNU Affero General Public License, version 3.", "gnu affero general public 3"),
     ("GPL-3.0-or-later", gnu_header("This program", "3", "General Public License"), "gnu 3"),
     ("GPL-2.0-or-later", gnu_header("This program", "2", "General Public License"), "gnu 2"),
     ("LGPL-3.0-or-later", gnu_header("This library", "3", "Lesser General Public License"), "gnu lesser 3"),
@@ -110,6 +116,7 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("BSL-1.0-notice", "Distributed under the Boost Software License, Version 1.0.", "boost 1.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", "mozilla 2.0"),
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "eclipse 2.0"),
+    *((name, f"SPDX-License-Identifier: {name}", f"spdx-license-identifier {name.lower()}") for name in SPDX),
 )
 #: Seeds that a template takes last, as any text holds them.
 COMMON = frozenset("a above all an and any are as at by can copy distribute distributed following for form from hereby in including is it may modify not notice obtain of on one or person purpose source subject terms that the this to under use was will with work you".split())
@@ -209,6 +216,8 @@ class _Template:
         # the span at the seed's own offset, or the wider one if that matches more
         pairs = max([(k + exact, j) for k, j in align(own[exact : at + n], self.words)], [(k + low, j) for k, j in align(near, self.words)], key=len)
         fits = len(pairs) >= self.need and self.marks <= {self.words[j] for _, j in pairs}
+        # marks that stand side by side in the template name one thing, which no other word may change
+        fits = fits and all(k + 1 == m or j + 1 != i or not {self.words[j], self.words[i]} <= self.marks for (k, j), (m, i) in zip(pairs, pairs[1:], strict=False))
         return pairs if fits else None
 
 

@@ -413,3 +413,33 @@ def test_media_frames(spark):
         assert rows[d].tile_sha256 == hashlib.sha256(bytes(stored[d].tile)).hexdigest() and np.load(io.BytesIO(stored[d].tile)).shape == (24, 24)
     assert stored[4][1:] == stored[6][1:] and len(stored[3].dhash) == 16
     assert media.text_media(frame.filter("false")).collect() == []
+
+
+@pytest.mark.parametrize(
+    "text,names",
+    [
+        ("licensed under the GNU Lesser General Public License, version 3.", ["LGPL-notice"]),
+        ("This work is licensed under the GNU General Public License, version 3.", ["GPL-notice"]),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-notice"]),
+        ("# SPDX-License-Identifier: MIT\ncode", ["MIT"]),
+        ("SPDX-License-Identifier: GPL-2.0-only and no more", ["GPL-2.0-only"]),
+        ("This work is licensed under the GNU Weird General Public License, version 3.", []),
+    ],
+)
+def test_a_license_is_not_taken_for_its_like(text, names):
+    assert [n for *_, n, _ in licenses.find_licenses(text)] == names
+
+
+def test_alignment_against_brute_force():
+    """Rising pairs of equal words, as many as the longest common subsequence where no word repeats."""
+    draw = random.Random(8)
+    for _ in range(300):
+        vocabulary = [f"w{k}" for k in range(14)]
+        a, b = (draw.sample(vocabulary, draw.randrange(1, 13)) for _ in "ab")
+        pairs = licenses.align(a, b)
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        assert all(a[i] == b[j] for i, j in pairs) and all(x < u and y < v for (x, y), (u, v) in zip(pairs, pairs[1:], strict=False))
+        assert len(pairs) == best[-1][-1]
