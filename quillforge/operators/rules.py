@@ -62,3 +62,11 @@ def overall_coverage(by_file: DataFrame) -> DataFrame:
 
 def gate(overall: DataFrame, threshold: int) -> DataFrame:
     return overall.withColumn("threshold", F.lit(threshold).cast("long")).withColumn("passed", F.col("percent") >= threshold)
+
+
+def status(violations: DataFrame, orphans: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row: how many there are of each, and whether and how a check ends."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    both = count(violations, "violations").join(count(orphans, "orphans")).join(count(clusters, "duplicate_clusters"))  # one row each
+    failed = F.col("violations") + F.col("orphans") + F.col("duplicate_clusters") > 0
+    return both.select("*", failed.alias("failed"), failed.cast("int").alias("exit_code"))
