@@ -5,7 +5,7 @@ communities next to it and lets a node go where modularity gains most. Nodes mov
 hash of their name) in turn, and of two lone nodes that want to join each other only one moves. Then each
 community is refined: from single nodes on, only single nodes join parts of their own community that they
 have an edge to and that stay where they are, so every part is connected. The parts are the nodes of the
-next, smaller graph. The level of the largest modularity counts, split into connected pieces. All gains are compared as exact
+next, smaller graph. Levels go on while modularity grows; the last that raised it counts, split into connected pieces. All gains are compared as exact
 decimals and equal ones go to the smaller name, so the result does not depend on how rows are dealt.
 """
 
@@ -37,8 +37,9 @@ def _gain(total: int, weight: Column, own: Column, theirs: Column) -> Column:
     return _exact(F.lit(total)) * _exact(weight) - _exact(own) * _exact(theirs)
 
 
-def _turn(name: Column, k: int) -> Column:
-    return F.pmod(F.xxhash64(name), F.lit(CLASSES)) == k % CLASSES
+def _turn(name: str) -> Column:
+    """The class of a node."""
+    return F.pmod(F.xxhash64(name), F.lit(CLASSES))
 
 
 def _next_to(adjacent: DataFrame, part: DataFrame, to: str) -> DataFrame:
@@ -49,20 +50,19 @@ def _next_to(adjacent: DataFrame, part: DataFrame, to: str) -> DataFrame:
 
 def _move(nodes: DataFrame, adjacent: DataFrame, part: DataFrame, total: int) -> DataFrame:
     """part (node, comm) after rounds of local moving; nodes has (node, k)."""
-    still, held = 0, part.join(nodes, "node").select("node", "comm", "k")
+    held = part.join(nodes, "node").select("node", "comm", "k")
     for k in range(ROUNDS):
         sums = held.groupBy("comm").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
         own = held.join(sums, "comm").select("node", F.col("comm").alias("own"), "k", F.col("tot").alias("own_tot"), F.col("size").alias("own_size"))
-        near = _next_to(adjacent, held, "comm").join(sums, "comm").join(own.filter(_turn(F.col("node"), k)), "node")
+        near = _next_to(adjacent, held, "comm").join(sums, "comm").join(own, "node")
         there = F.col("tot") - F.when(F.col("comm") == F.col("own"), F.col("k")).otherwise(0)
         one_of_two = (F.col("comm") == F.col("own")) | (F.col("own_size") > 1) | (F.col("size") > 1) | (F.col("comm") < F.col("own"))
         choice = F.struct((-_gain(total, F.col("w"), F.col("k"), there)).alias("loss"), "comm")
         stay = _gain(total, F.coalesce(F.max(F.when(F.col("comm") == F.col("own"), F.col("w"))), F.lit(0)), F.max("k"), F.max("own_tot") - F.max("k"))
         best = near.filter(one_of_two).groupBy("node").agg(F.min(choice).alias("best"), stay.alias("stay")).filter(-F.col("best.loss") > F.col("stay")).select("node", "best")
-        after = held.join(best, "node", "left").select("node", F.coalesce("best.comm", "comm").alias("comm"), "k", F.col("best").isNotNull().alias("moved"))
-        held = materialise(after, "moved")
-        still = still + 1 if held.filter("moved").isEmpty() else 0
-        if still == CLASSES:
+        goes = F.when(_turn("node") == k % CLASSES, F.col("best.comm"))
+        held = materialise(held.join(best, "node", "left").select("node", F.coalesce(goes, "comm").alias("comm"), "k", F.col("best").isNotNull().alias("wants")), "moved")
+        if held.filter("wants").isEmpty():
             break
     return held.select("node", "comm")
 
@@ -71,17 +71,17 @@ def _refine(nodes: DataFrame, adjacent: DataFrame, part: DataFrame, total: int)
     """(node, sub): connected parts of the communities."""
     one, two = part.select(F.col("node").alias("src"), "comm"), part.select(F.col("node").alias("dst"), F.col("comm").alias("_c"))
     inside = materialise(adjacent.join(one, "src").join(two, "dst").filter("comm = _c").select("src", "dst", "w"), "inside")
-    held, still = nodes.select("node", F.col("node").alias("sub"), "k"), 0
+    held = nodes.select("node", F.col("node").alias("sub"), "k")
     for k in range(ROUNDS):
         sums = held.groupBy("sub").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
-        movers = held.join(sums.filter("size = 1"), "sub").filter(_turn(F.col("node"), k)).select("node", "k")
-        fixed = sums.filter((F.col("size") > 1) | ~_turn(F.col("sub"), k)).select("sub", "tot")
+        lone = held.join(sums.filter("size = 1"), "sub").select("node", "k")
+        stays = (F.col("size") > 1) | (_turn("sub") != _turn("node"))
         gain = _gain(total, F.col("w"), F.col("k"), F.col("tot"))
-        near = _next_to(inside, held, "sub").join(fixed, "sub").join(movers, "node").withColumn("g", gain).filter("g > 0")
+        near = _next_to(inside, held, "sub").join(sums, "sub").join(lone, "node").filter(stays).withColumn("g", gain).filter("g > 0")
         best = near.groupBy("node").agg(F.min(F.struct((-F.col("g")).alias("loss"), "sub")).alias("best"))
-        held = materialise(held.join(best, "node", "left").select("node", F.coalesce("best.sub", "sub").alias("sub"), "k", F.col("best").isNotNull().alias("moved")), "refined")
-        still = still + 1 if held.filter("moved").isEmpty() else 0
-        if still == CLASSES:
+        goes = F.when(_turn("node") == k % CLASSES, F.col("best.sub"))
+        held = materialise(held.join(best, "node", "left").select("node", F.coalesce(goes, "sub").alias("sub"), "k", F.col("best").isNotNull().alias("wants")), "refined")
+        if held.filter("wants").isEmpty():
             break
     return held.select("node", "sub")
 
@@ -106,11 +106,12 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     count, best, most = strength.count(), None, -1.0
     for _ in range(LEVELS):
         part = _move(strength, adjacent, part, int(total))
-        subs = _refine(strength, adjacent, part, int(total))
         placed = materialise(member.join(part.select(F.col("node").alias("at"), "comm"), "at").select("node", "comm"), "placed")
         score = _score(whole, placed).first()[0]
-        if score > most:
-            best, most = placed, score
+        if score <= most:
+            break
+        best, most = placed, score
+        subs = _refine(strength, adjacent, part, int(total))
         fewer = subs.select("sub").distinct().count()
         if fewer == count:
             break
