@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillforge.functions import text as T
 from quillforge.operators import profile, resolve, rules
-from quillforge.plans.registry import query, table
+from quillforge.plans.registry import dealt, query, table
 
 WORDS_SQL = "list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda t: t <> '')"
 DEFS_SQL = f"defs AS (SELECT DISTINCT 'item' || item_id AS file, unnest({WORDS_SQL}) AS name FROM benchmark), refs AS (SELECT DISTINCT unnest({WORDS_SQL}) AS ref FROM documents), many AS (SELECT name, count(*) AS files FROM defs GROUP BY name HAVING count(*) > 1)"
@@ -21,7 +21,8 @@ def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(T.words(F.col("text")))).alias("ref")).distinct()
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select(F.explode(F.array_distinct(T.words(F.col("text")))).alias("ref")).distinct()
 
 
 def unmentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +53,7 @@ def ambiguous_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def covering_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     defs = definitions(spark, sf_dir)
     own = defs.join(resolve.ambiguous(defs).select("name"), "name", "left_anti").select(defs.columns)
-    used = table(spark, sf_dir, "documents").select(F.col("source").alias("test_file"), F.col("doc_id").cast("string").alias("test_id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("ref"))
-    return resolve.covering_tests(own, used)
+    return resolve.covering_tests(own, document_uses(spark, sf_dir))
 
 
 IDENT_SQL = "ident AS (SELECT file, name AS ident FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY length(name) DESC, name) AS k FROM defs) WHERE k = 1)"
@@ -66,7 +66,8 @@ def identifiers(defs: DataFrame) -> DataFrame:
 
 
 def document_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("test_file"), F.col("doc_id").cast("string").alias("test_id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("ref"))
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return docs.select(F.col("source").alias("test_file"), F.col("doc_id").cast("string").alias("test_id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("ref"))
 
 
 @query(f"""WITH {DEFS_SQL}, {IDENT_SQL}, {WON_SQL}, used AS (SELECT DISTINCT source AS test_file, CAST(doc_id AS VARCHAR) AS test_id, unnest({WORDS_SQL}) AS name FROM documents),

@@ -23,3 +23,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows a core under which a table may be one file's one row group, and so one task.
+FEW_ROWS = 50_000
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of a small table dealt to all cores by a key, for work on each row that costs more than
+    moving it; a large table has parts enough and stays where it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.count() < cores * FEW_ROWS else rows

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillforge.functions import text as T
 from quillforge.operators import dedup, profile, render, rules
 from quillforge.plans import parts
-from quillforge.plans.registry import query, table
+from quillforge.plans.registry import dealt, query, table
 from quillforge.sources import rejects
 from quillforge.sources.scratch import materialise, remember, shared_dir
 
@@ -35,7 +35,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def unit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measured(table(spark, sf_dir, "documents"))
+    return measured(dealt(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id"))
 
 
 def long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +190,7 @@ pairs AS (SELECT id1, id2, similarity FROM (SELECT id1, id2, len(list_filter(lis
 
 
 def doc_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.signatures(table(spark, sf_dir, "documents"), "doc_id", "text", WORDS, HASHES)
+    return dedup.signatures(dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", WORDS, HASHES)
 
 
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
