@@ -91,7 +91,8 @@ def jumped(pointers: DataFrame) -> DataFrame:
         after = materialise(now, "pointers")
         drop(held)
         held = after
-        if length > most or held.filter("not ends").isEmpty():
+        # one round after every chain must have been followed, as the last of them only shows then that it ends
+        if length > 4 * most or held.filter("not ends").isEmpty():
             return held
 
 
