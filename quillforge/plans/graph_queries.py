@@ -126,7 +126,7 @@ TRADE_SQL = "edges AS (SELECT DISTINCT 'c:' || o_custkey AS src, 's:' || l_suppk
 
 def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    edges = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(_key("c", "o_custkey").alias("src"), _key("s", "l_suppkey").alias("dst")).distinct()
+    edges = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey").distinct().select(_key("c", "o_custkey").alias("src"), _key("s", "l_suppkey").alias("dst"))
     nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("grp")))  # 25 rows at any size
     groups = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(_key("c", "c_custkey").alias("node"), "grp")
     return edges, groups.unionAll(table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(_key("s", "s_suppkey"), "grp"))

@@ -29,12 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back."""
+def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Cut the lineage: write df as Parquet to the shared folder and read it back. A filter by the last columns,
+    if they are named, reads only their files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     remember(path, spark)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
